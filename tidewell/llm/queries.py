@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from .exact_dedup import exact_dedup
+from .mixing import DEFAULT_WEIGHT, MAX_EPOCHS, WEIGHTS, mix
+from .mixing import SEED as MIX_SEED
 from .quality import quality
 from .scratch import Scratch
 from .simhash_dedup import near_duplicates
@@ -49,3 +52,53 @@ FROM d
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def _share_sql(parent: str, child: str, level: str, weights: dict[str, int]) -> str:
+    """A level of the budget tree: `{parent}_b` has the parents' budgets, `{child}_b` gets the children's."""
+    path = {"root": "root", "dom": "root, domain", "lng": "root, domain, language", "org": "root, domain, language, origin"}
+    weight = " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in weights.items())
+    same = " AND ".join(f"c.{x.strip()} IS NOT DISTINCT FROM p.{x.strip()}" for x in path[parent].split(","))
+    names = ", ".join("c." + x.strip() for x in path[child].split(","))
+    return f"""
+{child}_c AS (SELECT {names}, c.cap, p.budget, c.weight
+  FROM (SELECT {path[child]}, sum(cap)::HUGEINT AS cap, CASE {weight} ELSE {DEFAULT_WEIGHT} END::HUGEINT AS weight
+        FROM leaf GROUP BY {path[child]}) c JOIN {parent}_b p ON {same}),
+{child}_w AS (SELECT *,
+    coalesce(sum(cap) OVER (PARTITION BY {path[parent]} ORDER BY cap / weight, {level} NULLS FIRST
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(weight) OVER (PARTITION BY {path[parent]} ORDER BY cap / weight, {level} NULLS FIRST
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {child}_c),
+{child}_f AS (SELECT *, cap * rest + filled * weight <= budget * weight AS full_ FROM {child}_w),
+{child}_b AS (SELECT {path[child]}, least(greatest(CASE WHEN full_ THEN cap ELSE
+    ((budget - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER (PARTITION BY {path[parent]})) * weight)
+    // sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER (PARTITION BY {path[parent]}) END, 0), cap) AS budget
+  FROM {child}_f)"""
+
+
+SQL["op4_mixing"] = f"""
+WITH doc AS (
+  SELECT doc_id, lang AS language, source AS origin,
+         CASE source {" ".join(f"WHEN 'src{i}' THEN 'd{zlib.crc32(f'src{i}'.encode()) % 4}'" for i in range(20))} END AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens, md5(coalesce(text, '')) AS text_md5
+  FROM documents),
+leaf AS (SELECT '' AS root, domain, language, origin, sum(tokens) AS tokens, sum(tokens) * {MAX_EPOCHS} AS cap
+  FROM doc GROUP BY domain, language, origin),
+root_b AS (SELECT '' AS root, sum(tokens)::HUGEINT AS budget FROM doc),
+{",".join(_share_sql(p, c, level, WEIGHTS[level]) for p, c, level in
+          (("root", "dom", "domain"), ("dom", "lng", "language"), ("lng", "org", "origin")))},
+plan AS (SELECT l.domain, l.language, l.origin, (b.budget // greatest(l.tokens, 1))::BIGINT AS epochs,
+    (b.budget % greatest(l.tokens, 1))::BIGINT AS rest
+  FROM leaf l JOIN org_b b USING (domain, language, origin)),
+keyed AS (SELECT d.*, p.epochs, p.rest, md5(concat_ws(':', '{MIX_SEED}', p.epochs::VARCHAR, d.doc_id::VARCHAR, d.text_md5)) AS key
+  FROM doc d JOIN plan p USING (domain, language, origin)),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, origin ORDER BY key) AS upto FROM keyed)
+SELECT doc_id, domain, language, origin, tokens::BIGINT AS tokens,
+       unnest(range(0, epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS epoch
+FROM summed
+"""
