@@ -11,6 +11,7 @@ from ..session import ship
 from .exact_dedup import exact_dedup
 from .mixing import DEFAULT_WEIGHT, MAX_EPOCHS, WEIGHTS, mix
 from .mixing import SEED as MIX_SEED
+from .packing import pack
 from .quality import quality
 from .scratch import Scratch
 from .simhash_dedup import near_duplicates
@@ -102,3 +103,8 @@ SELECT doc_id, domain, language, origin, tokens::BIGINT AS tokens,
        unnest(range(0, epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS epoch
 FROM summed
 """
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), Scratch(spark))
