@@ -14,6 +14,7 @@ from .mixing import SEED as MIX_SEED
 from .packing import pack
 from .quality import quality
 from .scratch import Scratch
+from .sharding import BITS, LIMIT, shard
 from .simhash_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +109,24 @@ FROM summed
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+SQL["op2_sharding"] = f"""
+WITH d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+         bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, {BITS // 4}))::UBIGINT) AS b
+  FROM documents),
+h AS (SELECT doc_id, bytes, lpad(b, {BITS}, '0') AS hash FROM d),
+deep AS (SELECT *, unnest(range(0, {BITS} + 1)) AS depth FROM h),
+total AS (SELECT substr(hash, 1, depth) AS shard, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM deep GROUP BY 1),
+fit AS (SELECT d.doc_id, d.bytes, d.depth, t.* FROM deep d JOIN total t ON t.shard = substr(d.hash, 1, d.depth)
+        WHERE t.shard_bytes <= {LIMIT} OR d.depth = {BITS})
+SELECT doc_id, bytes, '/' || arg_min(shard, depth) AS shard, arg_min(shard_bytes, depth) AS shard_bytes,
+       arg_min(shard_rows, depth) AS shard_rows
+FROM fit GROUP BY doc_id, bytes
+"""
