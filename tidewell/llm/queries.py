@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
+from .chat import conversation_digests, windows
 from .exact_dedup import exact_dedup
 from .mixing import DEFAULT_WEIGHT, MAX_EPOCHS, WEIGHTS, mix
 from .mixing import SEED as MIX_SEED
@@ -130,3 +131,11 @@ SELECT doc_id, bytes, '/' || arg_min(shard, depth) AS shard, arg_min(shard_bytes
        arg_min(shard_rows, depth) AS shard_rows
 FROM fit GROUP BY doc_id, bytes
 """
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(windows(conversations.unionAll(extra)))
