@@ -17,6 +17,7 @@ from .quality import quality
 from .scratch import Scratch
 from .sharding import BITS, LIMIT, shard
 from .simhash_dedup import near_duplicates
+from .url_filter import filter_urls, labelled_urls, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,3 +140,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_digests(windows(conversations.unionAll(extra)))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), *train(labelled_urls(spark)))
