@@ -9,7 +9,9 @@ ended; texts are compared byte by byte and no digest decides anything.
 
 A round is one aggregation (pre-summed in the tasks, so a group of copies is
 one row per task) and one equi-join back, which AQE may split where a group is
-hot.  No round gathers a group.  Only open rows keep their text between rounds.
+hot; the joins are sort-merge at every size, so that a small run moves the same
+share of its input as a large one.  No round gathers a group.  Only open rows
+keep their text between rounds.
 
 Defined results: null text counts as empty; empty texts equal each other;
 repeated rows are copies, of which exactly one is kept; null doc_id sorts below
@@ -69,7 +71,7 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, carry: Iterable[str] = ("doc_
         return F.col("text") if "text" in carry else F.when(is_open, F.col("text"))
 
     table = scratch.cut(
-        rows.join(groups, ["length", "digit"], "left").select(
+        rows.join(groups.hint("merge"), ["length", "digit"], "left").select(
             F.monotonically_increasing_id().alias("rid"), "id", "row", "length", "gid",
             lower_sha256(_bytes()).alias("text_sha256"), still_open(F.col("gid").isNotNull()).alias("text"),
         ),
@@ -85,7 +87,7 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, carry: Iterable[str] = ("doc_
         groups = scratch.cut(groups.withColumn("next", F.monotonically_increasing_id()), f"groups{step}")
         is_open = (F.col("n") > 1) & (F.col("length") > offset + width)
         table = scratch.cut(
-            still.join(groups, ["gid", "digit"]).select(
+            still.join(groups.hint("merge"), ["gid", "digit"]).select(
                 "rid", "id", "row", "length", F.when(is_open, F.col("next")).alias("gid"), "text_sha256",
                 still_open(is_open).alias("text"), "n", "keep",
             ),
