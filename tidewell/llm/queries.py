@@ -17,6 +17,8 @@ from .quality import quality
 from .scratch import Scratch
 from .sharding import BITS, LIMIT, shard
 from .simhash_dedup import near_duplicates
+from .toxicity import score_toxicity
+from .toxicity import train as train_toxicity
 from .url_filter import filter_urls, labelled_urls, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +147,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), *train(labelled_urls(spark)))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return score_toxicity(documents, train_toxicity(documents, table(spark, sf_dir, "labels")))
