@@ -231,7 +231,7 @@ def fit_words(toxic: dict[str, float], hard_words: list[str], clean_words: list[
     x = np.array([kernels(w) for w in [*toxic_words, *altered, *clean_words, *hard_words]]) @ nystroem
     y = np.r_[np.ones(len(toxic_words) + len(altered)), -np.ones(len(clean_words) + len(hard_words))]
     evidence = np.array([toxic[w] for w in toxic_words])
-    weight = np.r_[10 * evidence, np.repeat(evidence, 2), np.full(len(clean_words), 1.0), np.full(len(hard_words), 4.0)]
+    weight = np.r_[10 * evidence, np.repeat(evidence, 2), np.full(len(clean_words), 1.0), np.full(len(hard_words), 20.0)]
     w, bias = _fit_svm(x, y, weight)
     per_key = marks @ (nystroem @ w)
     return {k: float(per_key[i]) for k, i in keys.items()}, bias
