@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 from .chat import conversation_digests, windows
 from .exact_dedup import exact_dedup
+from .html_extract import default_field, extract_text
 from .mixing import DEFAULT_WEIGHT, MAX_EPOCHS, WEIGHTS, mix
 from .mixing import SEED as MIX_SEED
 from .packing import pack
@@ -153,3 +154,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return score_toxicity(documents, train_toxicity(documents, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"), default_field())
