@@ -1,0 +1,49 @@
+"""Versioned Parquet snapshots of catalog tables behind one pointer.
+
+A run writes all its tables under a new version and then renames the pointer,
+so readers see all of them or none; a failed run leaves nothing visible.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def pointer(self) -> dict[str, str]:
+        """table -> folder, of the newest complete run."""
+        if not self._fs.exists(self._path(self.root)):
+            return {}
+        runs = sorted(str(s.getPath().getName()) for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().endswith(".json"))
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{runs[-1]}").collect())) if runs else {}
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        """The table, empty if no run wrote it."""
+        folder = self.pointer().get(name)
+        return self.spark.read.parquet(folder) if folder else self.spark.createDataFrame([], schema)
+
+    def write(self, version: int, tables: dict[str, DataFrame], append: dict[str, DataFrame] | None = None) -> None:
+        """Replace tables and append to others in one commit; version rises with every run."""
+        at = dict(self.pointer())
+        for name, df in tables.items():
+            folder = f"{self.root}/{name}/v{version:010d}"
+            df.write.mode("overwrite").parquet(folder)
+            at[name] = folder
+        for name, df in (append or {}).items():
+            folder = f"{self.root}/{name}/v{version:010d}"
+            old = self.spark.read.parquet(at[name]) if name in at else None
+            (df if old is None else old.unionByName(df)).write.mode("overwrite").parquet(folder)
+            at[name] = folder
+        part = f"{self.root}/_pointer-{version:010d}"
+        out = self._fs.create(self._path(part), True)
+        out.write(json.dumps(at).encode())
+        out.close()
+        self._fs.rename(self._path(part), self._path(f"{self.root}/pointer-{version:010d}.json"))
