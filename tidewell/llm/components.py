@@ -13,7 +13,7 @@ def _nearest(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of edges (a, b); root is the smallest node reachable.
+    """(node, root) for every node of edges (a, b) but the roots; root is the smallest node reachable.
 
     A step only aggregates and joins on a node, so a node with very many
     neighbours is never gathered; each step's edges are written before the next.

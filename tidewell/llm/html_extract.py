@@ -262,7 +262,7 @@ def drawn_page(rng: random.Random) -> list[tuple[str, bool]]:
         if kind == "nav":
             body = links(rng.randint(2, 8))
         elif kind == "header":
-            body = rng.choice(["", f"<h1>{words(2)}</h1>", f"<div>{words(2)}</div>"]) + rng.choice(["", f"<p>{words(5)}</p>", links(3)])
+            body = rng.choice(["", f"<h1>{words(2)}</h1>", f"<h2>{words(2)}</h2>", f"<h3>{words(2)}</h3>", f"<div>{words(2)}</div>"]) + rng.choice(["", f"<p>{words(5)}</p>", links(3)])
         elif kind == "footer":
             body = rng.choice(["&copy; ", "© 2020 ", "", "Copyright "]) + rng.choice([f"{words(1)}.example.com &middot; {sentence(4, 18)}", words(4), f"<p>{sentence(5, 20)}</p>", links(4)])
         elif kind == "aside":

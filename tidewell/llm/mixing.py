@@ -19,7 +19,8 @@ The order key is md5(seed:epoch:doc_id:md5(text)), so rows equal in both are
 taken or left together.  Defined results: null or empty texts hold no tokens
 and are taken with their leaf's whole epochs, or while their key is inside the
 prefix; null languages and sources are leaves of their own; repeated rows are
-each taken; an empty table, a zero budget or zero weights take nothing.
+each taken; an empty table takes nothing, and a zero budget or zero weights nothing
+that holds a token.
 """
 
 from __future__ import annotations

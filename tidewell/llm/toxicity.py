@@ -11,10 +11,12 @@ word does, those that the machine takes for toxic most.  As the map and the mach
 decision of a word is a sum over its subsequences of weights that the landmarks
 give, divided by the word's own norm; only those weights travel to the tasks.
 
-A text's decision is the highest of its words: of all words, lower-cased, with
-common letter look-alikes replaced and everything but letters dropped, of runs
-of single letters joined up, and of the overlapping windows of long words.
-A logistic curve fitted on the training texts turns it into a score.
+Decisions are taken of all words of a text, lower-cased, with common letter
+look-alikes replaced and everything but letters dropped, of runs of single
+letters joined up, and of the overlapping windows of long words.  A logistic
+curve, fitted on the training texts, of how far the highest is above zero and of
+the mean of the TOP highest different ones turns them into a score: one clear
+insult is enough, and a clean word that looks a little like one is not.
 
 Training uses the labelled rows with crc32(doc_id) mod 4 <> 2, of which at most
 MAX_DOCS of each label (those with the lowest hash of doc_id); labels, lang,
@@ -31,11 +33,12 @@ import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +52,7 @@ HARD_ROUNDS, HARD_WORDS = 3, 1000
 SIGNIFICANT = 18.0  # of a log-likelihood ratio, one degree of freedom
 PURITY = 0.03
 FROM = 0.3
+TOP = 3  # highest decisions of a text that are averaged
 CACHE = 400_000
 
 # Characters that stand in for letters.
@@ -130,14 +134,15 @@ _decisions: dict[int, _Decisions] = {}
 
 
 def decision(weights: dict[str, float], bias: float):
-    """An Arrow UDF: text -> the highest decision of its words."""
+    """An Arrow UDF: text -> the TOP highest different decisions of its words, highest first."""
     mark = hash((bias, len(weights), sum(weights.values())))
 
-    @F.arrow_udf(T.DoubleType())
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def decide(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _decisions.setdefault(mark, _Decisions(weights, bias))
         for batch in texts:
-            yield pa.array((max(map(known.__getitem__, tokens_of(t.as_py() or "")), default=bias) for t in batch), pa.float64(), size=len(batch))
+            found = (nlargest(TOP, set(map(known.__getitem__, tokens_of(t.as_py() or "")))) for t in batch)
+            yield pa.array(([*f, *[bias] * (TOP - len(f))] for f in found), pa.list_(pa.float64()), size=len(batch))
 
     return decide
 
@@ -230,31 +235,36 @@ def fit_words(toxic: dict[str, float], hard_words: list[str], clean_words: list[
     altered = [v for w in toxic_words for v in inserted(w, rng)]
     x = np.array([kernels(w) for w in [*toxic_words, *altered, *clean_words, *hard_words]]) @ nystroem
     y = np.r_[np.ones(len(toxic_words) + len(altered)), -np.ones(len(clean_words) + len(hard_words))]
-    evidence = np.array([toxic[w] for w in toxic_words])
-    weight = np.r_[10 * evidence, np.repeat(evidence, 2), np.full(len(clean_words), 1.0), np.full(len(hard_words), 20.0)]
+    telling = np.array([toxic[w] for w in toxic_words])
+    weight = np.r_[10 * telling, np.repeat(telling, 2), np.full(len(clean_words), 1.0), np.full(len(hard_words), 20.0)]
     w, bias = _fit_svm(x, y, weight)
     per_key = marks @ (nystroem @ w)
     return {k: float(per_key[i]) for k, i in keys.items()}, bias
 
 
-def _fit_curve(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of a decision, by Newton steps on softened labels."""
+def evidence(decisions: Column) -> list[Column]:
+    """What the curve is over: the highest above zero, and the mean."""
+    return [F.greatest(decisions[0], F.lit(0.0)), F.aggregate(decisions, F.lit(0.0), lambda a, x: a + x) / TOP]
+
+
+def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Slopes and offset of the logistic curve, by Newton steps on softened labels."""
     up, down = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    x, theta = np.c_[f, np.ones(len(f))], np.zeros(2)
+    x, theta = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(theta))
         theta = theta - np.linalg.solve(hessian, x.T @ (p - target) + 1e-3 * theta)
-    return float(theta[0]), float(theta[1])
+    return tuple(map(float, theta))
 
 
 def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict[str, float], float, float, float] | None:
-    """Weights, bias, slope, offset; None without labels of both kinds."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple | None:
+    """Weights, bias, slopes, offset; None without labels of both kinds."""
     labels = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = labels.where("toxic = 1").orderBy(*order).limit(max_docs).unionAll(labels.where("toxic = 0").orderBy(*order).limit(max_docs))
@@ -283,12 +293,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple
     hard: list[str] = []
     for _ in range(HARD_ROUNDS):  # clean words that the machine takes for toxic are trained on with more weight
         weights, bias = fit_words(words, hard, clean)
-        worst = often.select("word", decision(weights, bias)("word").alias("f")).where("f > -0.5").orderBy(F.desc("f"), "word").limit(HARD_WORDS)
+        worst = often.select("word", decision(weights, bias)("word")[0].alias("f")).where("f > -0.5").orderBy(F.desc("f"), "word").limit(HARD_WORDS)
         hard = list(dict.fromkeys([*(r["word"] for r in worst.collect() if r["word"] not in words), *hard]))
     weights, bias = fit_words(words, hard, clean)
     counts.unpersist()
-    found = texts.select(decision(weights, bias)("text").alias("f"), "toxic").toPandas()  # 2 * max_docs rows
-    return weights, bias, *_fit_curve(found["f"].to_numpy(), found["toxic"].to_numpy(dtype=float))
+    found = texts.select(decision(weights, bias)("text").alias("f"), "toxic")
+    found = found.select(*evidence(F.col("f")), "toxic").toPandas().to_numpy(dtype=float)  # 2 * max_docs rows
+    return weights, bias, *_fit_curve(found[:, :-1], found[:, -1])
 
 
 def score_toxicity(docs: DataFrame, model: tuple | None, carry: Iterable[str] = ("doc_id",)) -> DataFrame:
@@ -296,9 +307,10 @@ def score_toxicity(docs: DataFrame, model: tuple | None, carry: Iterable[str] =
     carry = [c for c in carry if c not in ("held_out", "score", "predicted")]
     rows = docs.select(F.struct(F.lit(0).alias("_"), *carry).alias("row"), held_out().alias("held_out"), "text")
     if model is None:
-        score = F.lit(0.0)
+        rows = rows.withColumn("score", F.lit(0.0))
     else:
-        weights, bias, slope, offset = model
-        score = 1 / (1 + F.exp(-(decision(weights, bias)("text") * slope + offset)))
-    rows = rows.withColumn("score", score)
+        weights, bias, *slopes, offset = model
+        rows = rows.withColumn("f", decision(weights, bias)("text"))
+        x = sum((e * slope for e, slope in zip(evidence(F.col("f")), slopes, strict=True)), F.lit(offset))
+        rows = rows.withColumn("score", 1 / (1 + F.exp(-x)))
     return rows.select(*[F.col("row")[c].alias(c) for c in carry], "held_out", "score", (F.col("score") >= FROM).cast("int").alias("predicted"))
