@@ -8,12 +8,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "1000"  # whole documents: a batch is held by the JVM and by the Python worker at once
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give this package to the executors' Python workers, once per application."""
+    """Give this package to the executors' Python workers, once per application, in batches that suit long texts."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH, None) in (None, "10000"):  # Spark's own choice
+        spark.conf.set(BATCH, BATCH_ROWS)
     if context.applicationId not in _shipped:
         package = Path(__file__).parent
         archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
