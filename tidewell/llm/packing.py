@@ -33,8 +33,7 @@ import functools
 import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -49,7 +48,6 @@ from .scratch import Scratch
 CAPACITY = 1024
 END = 2
 SPECIAL = {"<|endoftext|>": 50256}
-CACHE = 200_000  # words whose ids a worker remembers, some 45 MB
 
 Pattern = tuple[int, ...]
 
@@ -172,48 +170,12 @@ def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
-class _Irregular(Exception):
-    """A blank is followed by white space or the end."""
+def tokenizer(path: str) -> Callable[[str], np.ndarray]:
+    """text -> ids; a special token's name in a text is that token."""
+    return functools.partial(_encoding(path).encode_to_numpy, allowed_special="all")
 
 
-class _Known(dict):
-    """The ids of words that follow a blank, as met; equal ids are one object."""
-
-    def __init__(self, encode):
-        self.encode = encode
-        self.id = list(range(max(SPECIAL.values()) + 1))
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if not word or word[0].isspace():
-            raise _Irregular
-        ids = tuple(map(self.id.__getitem__, self.encode(" " + word)))
-        if len(word) < 40:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-@functools.cache
-def tokenizer(path: str):
-    """text -> ids.  A blank before a visible character always starts a new
-    piece of the vocabulary's pattern, so a text is encoded word by word and
-    words met before are looked up; a text with any other blank is encoded at
-    once."""
-    encode = functools.partial(_encoding(path).encode, allowed_special="all")
-    known = _Known(encode)
-
-    def ids(text: str) -> list[int]:
-        first, *rest = text.split(" ")
-        try:
-            return encode(first) + list(chain.from_iterable(map(known.__getitem__, rest)))
-        except _Irregular:
-            return encode(text)
-
-    return ids
-
-
-def pieces_of(ids: list[int], capacity: int = CAPACITY) -> Iterator[tuple[int, list[int]]]:
+def pieces_of(ids: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple[int, np.ndarray]]:
     """(start, ids) of each piece; all but the first are full."""
     end = len(ids) % capacity or capacity
     yield 0, ids[:end]
@@ -223,7 +185,7 @@ def pieces_of(ids: list[int], capacity: int = CAPACITY) -> Iterator[tuple[int, l
 
 def _cut(path: str, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path)
+        encode, end = tokenizer(path), np.array([END], np.uint32)
         part = TaskContext.get().partitionId()
         rank: dict[int, int] = Counter()
         for batch in batches:
@@ -231,16 +193,16 @@ def _cut(path: str, capacity: int, with_ids: bool):
                 some = batch.slice(at, 256)
                 rows, out = [], defaultdict(list)
                 for i, text in enumerate(some.column("text")):
-                    for n, (start, ids) in enumerate(pieces_of([*encode(text.as_py() or ""), END], capacity)):
+                    for n, (start, ids) in enumerate(pieces_of(np.append(encode(text.as_py() or ""), end), capacity)):
                         rows.append(i)
                         out["piece"].append(n)
                         out["start"].append(start)
                         out["length"].append(len(ids))
-                        out["ids_crc32"].append(zlib.crc32(np.array(ids, "<u4").tobytes()))
+                        out["ids_crc32"].append(zlib.crc32(ids.astype("<u4", copy=False)))
                         out["rank"].append(rank[len(ids)])
                         rank[len(ids)] += 1
                         if with_ids:
-                            out["ids"].append(ids)
+                            out["ids"].append(ids.astype(np.int32))
                 kept = some.select([0]).take(pa.array(rows, pa.int32()))
                 columns = [pa.array([part] * len(rows), pa.int32())]
                 columns += [pa.array(out[c], pa.int32() if c == "piece" else pa.int64()) for c in ("piece", "start", "length", "ids_crc32", "rank")]
