@@ -34,7 +34,9 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import nlargest
-from itertools import combinations
+from itertools import combinations, islice, repeat
+from math import comb
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -61,23 +63,50 @@ _EDGE = ".,;:!?\"'()[]{}<>-_*#%&|/\\~`´‘’“”«»…+="
 _SINGLES = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 
 
+Letters = tuple[str, ...]
+
+
+def _occurrences(word: str) -> list[Letters]:
+    """The letters of each subsequence of the word, by their positions."""
+    found: list[Letters] = []
+    for first in range(len(word) - ORDER + 1):
+        part = word[first : first + SPAN]
+        found += islice(combinations(part, ORDER), comb(len(part) - 1, ORDER - 1))  # those with its first letter
+    return found
+
+
 @functools.cache
-def _ways(length: int) -> list[tuple[tuple[int, ...], float]]:
-    """The positions of a subsequence within the span, and what it counts."""
+def _counts(length: int) -> list[float]:
+    """What each of them counts."""
     found = []
     for first in range(length - ORDER + 1):
         for more in combinations(range(first + 1, min(length, first + SPAN)), ORDER - 1):
-            found.append(((first, *more), DECAY ** (more[-1] - first + 1)))
+            found.append(DECAY ** (more[-1] - first + 1))
     return found
 
 
-def subsequences(word: str) -> dict[str, float]:
+@functools.cache
+def _plain_norm(length: int) -> float:
+    return sum(v * v for v in _counts(length)) ** 0.5
+
+
+def _norm(occurrences: list[Letters], length: int) -> float:
+    if len(set(occurrences)) == len(occurrences):
+        return _plain_norm(length)
+    own: dict[Letters, float] = defaultdict(float)
+    for k, v in zip(occurrences, _counts(length), strict=True):
+        own[k] += v
+    return sum(v * v for v in own.values()) ** 0.5
+
+
+def subsequences(word: str) -> dict[Letters, float]:
     """The word's place in the kernel's space, of length 1 (empty if it is too short)."""
-    found: dict[str, float] = defaultdict(float)
-    for (a, b, c, d), value in _ways(len(word)):
-        found[word[a] + word[b] + word[c] + word[d]] += value
-    norm = sum(v * v for v in found.values()) ** 0.5
-    return {k: v / norm for k, v in found.items()}
+    occurrences = _occurrences(word)
+    norm = _norm(occurrences, len(word))
+    found: dict[Letters, float] = defaultdict(float)
+    for k, v in zip(occurrences, _counts(len(word)), strict=True):
+        found[k] += v / norm
+    return dict(found)
 
 
 def windows_of(word: str) -> list[str]:
@@ -110,17 +139,13 @@ def words_of(text: str) -> set[str]:
 class _Decisions(dict):
     """token -> the highest decision of its windows, as met."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: dict[Letters, float], bias: float):
         self.weights, self.bias = weights, bias
 
     def word(self, word: str) -> float:
-        weights, total, own = self.weights.get, 0.0, defaultdict(float)
-        for (a, b, c, d), value in _ways(len(word)):
-            s = word[a] + word[b] + word[c] + word[d]
-            own[s] += value
-            if (w := weights(s)) is not None:
-                total += w * value
-        return self.bias + (total / sum(v * v for v in own.values()) ** 0.5 if total else 0.0)
+        occurrences = _occurrences(word)
+        total = sum(map(mul, map(self.weights.get, occurrences, repeat(0.0)), _counts(len(word))))
+        return self.bias + (total / _norm(occurrences, len(word)) if total else 0.0)
 
     def __missing__(self, token: str) -> float:
         found = max((self.word(w) for w in windows_of(letters(token)) if len(w) >= ORDER), default=self.bias)
@@ -133,7 +158,7 @@ class _Decisions(dict):
 _decisions: dict[int, _Decisions] = {}
 
 
-def decision(weights: dict[str, float], bias: float):
+def decision(weights: dict[Letters, float], bias: float):
     """An Arrow UDF: text -> the TOP highest different decisions of its words, highest first."""
     mark = hash((bias, len(weights), sum(weights.values())))
 
@@ -202,7 +227,7 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 0.2, s
     return w[:-1], float(w[-1])
 
 
-def _distinct(words: Iterable[str], most: int, chosen: list[dict[str, float]]) -> list[dict[str, float]]:
+def _distinct(words: Iterable[str], most: int, chosen: list[dict[Letters, float]]) -> list[dict[Letters, float]]:
     """The words' places, in order, passing over those that are close to one already chosen."""
     chosen, start = list(chosen), len(chosen)
     for w in words:
@@ -214,7 +239,7 @@ def _distinct(words: Iterable[str], most: int, chosen: list[dict[str, float]]) -
     return chosen
 
 
-def fit_words(toxic: dict[str, float], hard_words: list[str], clean_words: list[str]) -> tuple[dict[str, float], float]:
+def fit_words(toxic: dict[str, float], hard_words: list[str], clean_words: list[str]) -> tuple[dict[Letters, float], float]:
     """The weights of subsequences and the bias, from telling words with their evidence and from words of clean texts (the hard ones most)."""
     toxic_words = list(toxic)
     rng = np.random.default_rng(3)
