@@ -55,7 +55,7 @@ SIGNIFICANT = 18.0  # of a log-likelihood ratio, one degree of freedom
 PURITY = 0.03
 FROM = 0.3
 TOP = 3  # highest decisions of a text that are averaged
-CACHE = 400_000
+CACHE = 600_000  # tokens, and words, whose decisions a worker remembers, some 150 MB together
 
 # Characters that stand in for letters.
 LOOK_ALIKE = str.maketrans("013457@$!|", "oieastasil")
@@ -141,6 +141,7 @@ class _Decisions(dict):
 
     def __init__(self, weights: dict[Letters, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.words: dict[str, float] = {}  # the same by the letters of a token
 
     def word(self, word: str) -> float:
         occurrences = _occurrences(word)
@@ -148,7 +149,13 @@ class _Decisions(dict):
         return self.bias + (total / _norm(occurrences, len(word)) if total else 0.0)
 
     def __missing__(self, token: str) -> float:
-        found = max((self.word(w) for w in windows_of(letters(token)) if len(w) >= ORDER), default=self.bias)
+        word = letters(token)
+        found = self.words.get(word)
+        if found is None:
+            found = max((self.word(w) for w in windows_of(word) if len(w) >= ORDER), default=self.bias)
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            self.words[word] = found
         if len(self) >= CACHE:
             self.clear()
         self[token] = found
