@@ -55,6 +55,28 @@ def test_divergence_rejects_other_distributions(spark, scratch):
     assert not kept[100] and not kept[101] and kept[102]
 
 
+POLISH = """Nad rzeką stał stary młyn, w którym od wielu lat nikt już nie mieszkał. Dzieci ze wsi opowiadały sobie, że nocą słychać
+tam kroki młynarza, lecz dorośli śmiali się z tych historii. Pewnego jesiennego wieczoru młody nauczyciel postanowił sprawdzić, ile jest
+w nich prawdy. Wziął latarnię, ciepły płaszcz oraz kawałek chleba i ruszył ścieżką przez mokre łąki. Kiedy otworzył drzwi, zobaczył
+tylko kurz, połamane koło i gniazdo sowy pod belką. Usiadł przy oknie, żeby poczekać do północy, a deszcz cicho bębnił o dach.
+Wtedy usłyszał kroki, które zbliżały się powoli od strony schodów. Okazało się, że to sąsiad szukał swojego zagubionego psa.
+Obaj roześmiali się głośno, podzielili chleb i wrócili razem do domu, zanim wzeszło słońce nad doliną."""
+
+
+def test_an_unlisted_language_hides_no_junk(spark, scratch):
+    import random
+
+    from .conftest import prose
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 300), "en", "s", 1) for i in range(60)]
+    rows += [(100, POLISH, "pl", "s", 1), (101, " ".join("".join(rng.choices("bcdfgklmprstaeiou", k=rng.randint(3, 8))) for _ in range(300)), "en", "s", 1)]
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), scratch).collect()}
+    assert all(got[i].kept for i in range(60))
+    assert not got[101].kept
+    assert got[100].kept and got[100].word_distance is None and got[100].class_distance is not None
+
+
 def test_js_distance():
     p, q = np.array([[1, 0, 0], [1, 1, 0], [0, 0, 0]]), np.array([[0, 5, 0], [2, 2, 0], [1, 0, 0]])
     d = js_distance(p, q)

@@ -3,10 +3,13 @@
 One pass over the texts takes, for each document, the base counts, a histogram
 of character classes and a histogram of common words.  The reference of a
 language is the sum of those histograms over all its documents that pass the
-base rules; languages without a list of common words share one reference.  A
-document is held against the nearest reference by the Jensen-Shannon distance,
-base 2 (0 the same, 1 disjoint), so a wrong ``lang`` or a mix of two languages
-does not reject it.  Each distance counts only from a minimum length on, and
+base rules; languages without a list of common words share one reference, of
+character classes only: its words are nearly all "no common word", as are those
+of junk.  A document of a listed language is held against the nearest reference
+of the listed languages by the Jensen-Shannon distance, base 2 (0 the same, 1
+disjoint), so a mix of two of them or the label of another does not reject it.
+One of any other language is held against all character classes and has no
+distance of words.  Each distance counts only from a minimum length on, and
 the limit for common words widens with the noise of a short text's histogram,
 1 / sqrt(n_words).
 
@@ -118,18 +121,22 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 DISTANCES = T.StructType([T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType())])
 
 
-def nearest(references: list[list[int]]):
-    """The distances of a row to the nearest reference; null if there is none."""
-    references = np.array(references, float).reshape(-1, N_CLASSES + N_WORDS)
+def nearest(references: dict[str, list[int]]):
+    """The distances of a row to the nearest reference of its kind; null if there is none."""
+    listed = [np.array(references[k], float)[None, :] for k in sorted(references) if k in COMMON]
+    others = [np.array(references[k], float)[None, :] for k in sorted(references) if k not in COMMON]
 
     @F.arrow_udf(DISTANCES)
-    def distances(classes: pa.Array, common: pa.Array) -> pa.Array:
-        found = []
-        for column, refs in ((classes, references[:, :N_CLASSES]), (common, references[:, N_CLASSES:])):
+    def distances(lang: pa.Array, classes: pa.Array, common: pa.Array) -> pa.Array:
+        def least(column: pa.Array, refs: list[np.ndarray]) -> np.ndarray:
             own = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
-            each = [js_distance(own, np.broadcast_to(r, own.shape)) for r in refs]
-            found.append(np.fmin.reduce(each) if each else np.full(len(own), np.nan))
-        return pa.StructArray.from_arrays([pa.array(x, pa.float64(), from_pandas=True) for x in found], DISTANCES.names)
+            return np.fmin.reduce([np.full(len(own), np.nan)] + [js_distance(own, np.broadcast_to(r, own.shape)) for r in refs])
+
+        other = ~np.isin(lang.to_numpy(zero_copy_only=False).astype(str), list(COMMON))
+        by_class = least(classes, [r[:, :N_CLASSES] for r in listed])
+        by_class = np.where(other, np.fmin(by_class, least(classes, [r[:, :N_CLASSES] for r in others])), by_class)
+        by_word = np.where(other, np.nan, least(common, [r[:, N_CLASSES:] for r in listed]))
+        return pa.StructArray.from_arrays([pa.array(x, pa.float64(), from_pandas=True) for x in (by_class, by_word)], DISTANCES.names)
 
     return distances
 
@@ -164,7 +171,7 @@ def quality(docs: DataFrame, scratch: Scratch, carry: Iterable[str] = ("doc_id",
     for name, at, n in sums:
         references.setdefault(name, [0] * (N_CLASSES + N_WORDS))[at] = n
 
-    rows = rows.withColumn("d", nearest([references[k] for k in sorted(references)])("classes", "common")).select("*", "d.*")
+    rows = rows.withColumn("d", nearest(references)("lang", "classes", "common")).select("*", "d.*")
     too_far = (F.col("class_distance") > max_class) & (F.col("word_chars") >= CLASS_MIN_CHARS)
     limit = max_word + word_noise / F.sqrt(F.col("n_words"))
     too_far |= (F.col("word_distance") > limit) & (F.col("n_words") >= WORD_MIN_WORDS)
