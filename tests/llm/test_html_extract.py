@@ -26,6 +26,20 @@ def test_leaf_blocks():
     assert texts("<h2>a</h3><p>b</div></section>c") == ["a", "b", "c"]
 
 
+def test_markup_that_hides_nothing():
+    assert texts("<p>a</p><svg/><p>b</p>") == texts("<p>a</p><svg class=i/><p>b</p>") == texts("<p>a</p><math/><p>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><svg><title>no</title><path d='x'/></svg><p>b") == ["a", "b"]
+    assert texts("<p>a</p><svg-icon>i</svg-icon><template-x>j</template-x><p>b") == ["a", "i", "j", "b"]
+    assert texts("<p>a</p><!--><p>b</p><!-- no --><!---><p>c</p>") == ["a", "b", "c"]
+
+
+def test_head_without_optional_tags():
+    head = "<html><head><meta charset=utf-8><title>no</title><script>no</script><link rel=x>"
+    for rest in ("<p>a<p>b", "<h1>a</h1>b", "a<p>b", "</head><p>a<p>b", "</head><body><p>a<p>b", "<body>a<p>b", "<svg></svg><p>a<p>b"):
+        assert texts(head + rest) == ["a", "b"], rest
+    assert texts("<p>a</p><head><p>b") == texts("<head></head><p>a</p><head>b") == ["a", "b"]
+
+
 def test_page_with_every_kind_of_boilerplate(field):
     page = """<html><head><title>T</title></head><body><div class="cookie-notice">We use cookies. <button>OK</button></div>
     <nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav><header><h2>Site name</h2></header>

@@ -35,7 +35,9 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var wbr".split()
 )
-UNSEEN = set("script style noscript template svg head iframe object canvas audio video math select".split())
+UNSEEN = set("script style noscript template svg iframe object canvas audio video math select".split())
+HEAD = set("html base basefont bgsound link meta title noscript style script template".split())  # these leave the head open
+FOREIGN = {"svg", "math"}  # only these can be closed by '/>'
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
@@ -46,7 +48,9 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BARRIER = {"table", "ul", "ol", "dl", "div", "article", "section", "body", "nav", "aside"}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
+    r"<!--(?:-?>|.*?(?:-->|\Z))"
+    r"|<(script|style|noscript|template|svg(?![^>]*/>)|iframe|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -60,6 +64,7 @@ def leaf_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     stack: list[tuple[str, tuple[str, ...]]] = []  # block elements: tag, its marks
     unseen = 0
+    head = begun = False  # inside the head; whether the body has begun
     links = 0
     blocks: list[Block] = []
     parts: list[str] = []
@@ -86,15 +91,25 @@ def leaf_blocks(page: str) -> list[Block]:
     for token in _TOKEN.finditer(page):
         if token.start() > at and not unseen:
             text = page[at : token.start()]
-            parts.append(text)
+            if text.strip():
+                head, begun = False, True
+            if not head:
+                parts.append(text)
             if links:
                 linked += len(text)
         at = token.end()
-        tag = token[3]
-        if tag is None:
+        tag = (token[3] or token[1] or "").lower()
+        if tag == "head":
+            end()
+            head, begun = not token[2] and not begun, begun or bool(token[2])
+            continue
+        if tag and tag not in HEAD and not token[2] or tag in ("body", "html", "br") and token[2]:
+            head, begun = False, True
+        if token[3] is None or head:
             continue
-        tag = tag.lower()
-        if tag in UNSEEN:
+        if tag in UNSEEN and tag in FOREIGN and token[4].endswith("/"):
+            end()
+        elif tag in UNSEEN:
             unseen = max(0, unseen + (-1 if token[2] else 1))
             end()
         elif tag == "body":
