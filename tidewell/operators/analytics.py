@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,11 +87,30 @@ def deals(stats: DataFrame, change: str, key: str, n: int) -> DataFrame:
     return stats.where(F.col(change) < 0).orderBy(change, key).limit(n)
 
 
-def similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, least: float) -> DataFrame:
-    """IDN-9: pairs (query, key, cosine) of a stated query set of bounded size against all rows."""
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
-    left = queries.select(F.col(key).alias("query"), unit(F.col(vector).cast("array<double>")).alias("q"))
-    right = rows.select(F.col(key), unit(F.col(vector).cast("array<double>")).alias("v"))
-    cosine = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    found = right.join(left, F.col("query") != F.col(key)).withColumn("cosine", cosine)
-    return found.where(F.col("cosine") >= least).select("query", key, "cosine")
+def similar(rows: DataFrame, key: str, vector: str, queries: DataFrame, least: float, block: int = 4096) -> DataFrame:
+    """IDN-9: pairs (query, key, cosine) of any number of queries against all rows, by matrix products of blocks."""
+
+    def blocks(df: DataFrame, name: str, own: str, others: str, n_own: int, n_others: int) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        df = df.select(F.col(key).alias(name), v.alias("v"), F.size(v).alias("size"), F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own))
+        df = df.where(~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0))
+        return df.withColumn(others, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_others - 1).cast("bigint"))))
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, v = (np.array(t["v"].combine_chunks().flatten()).reshape(len(t), -1) for t in (left, right))
+        q, v = (x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(x) else x for x in (q, v))
+        at, to, cosine = [], [], []
+        for i in range(0, len(q) if len(v) else 0, 256):
+            found = q[i : i + 256] @ v.T
+            x, y = np.nonzero(found >= least)
+            at.append(x + i), to.append(y), cosine.append(found[x, y])
+        at, to = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at, to))
+        cosine = pa.array(np.concatenate(cosine) if cosine else np.zeros(0), pa.float64())
+        return pa.table({"query": left["query"].take(pa.array(at)), key: right["row_key"].take(pa.array(to)), "cosine": cosine})
+
+    n_queries, n_rows = (max(1, -(-df.count() // block)) for df in (queries, rows))
+    left = blocks(queries, "query", "qb", "rb", n_queries, n_rows).groupBy("size", "qb", "rb")
+    right = blocks(rows, "row_key", "rb", "qb", n_rows, n_queries).groupBy("size", "qb", "rb")
+    kind = rows.schema[key].dataType.simpleString()
+    found = left.cogroup(right).applyInArrow(product, f"query {kind}, `{key}` {kind}, cosine double")
+    return found.where(F.col("query") != F.col(key))

@@ -531,6 +531,17 @@ def similarity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("cosine", F.round("cosine", 6))
 
 
+@query("""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT q.vec_id AS "query", v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v JOIN v q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+WHERE list_cosine_similarity(q.e, v.e) >= 0.2""")
+def similarity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IDN-9: every vector whose id is divisible by 20 against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = analytics.similar(vectors, "vec_id", "embedding", vectors.where("vec_id % 20 = 0"), 0.2)
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
 @query("""
 SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'IN_STOCK' WHEN 'F' THEN 'OUT_OF_STOCK' ELSE 'UNKNOWN' END AS stock,
   CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 3 = 1 THEN 2500 END AS fee, round(o_totalprice + CASE WHEN o_orderkey % 3 = 1 THEN 2500 ELSE 0 END, 4) AS final_price FROM orders""")
