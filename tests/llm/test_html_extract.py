@@ -1,11 +1,12 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 
-from tidewell.llm.html_extract import Field, default_field, drawn_page, extract_text, features, labelled_page, leaf_blocks, train
+from tidewell.llm.html_extract import Field, _expected, default_field, drawn_page, extract_text, features, labelled_page, leaf_blocks, train
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +41,47 @@ def test_head_without_optional_tags():
     assert texts("<p>a</p><head><p>b") == texts("<head></head><p>a</p><head>b") == ["a", "b"]
 
 
+def test_elements_that_are_never_closed_hide_nothing():
+    for page in ("<body><svg/><article><p>Main</p>", "<head><title>t</title><p>Main", "<video/><p>Main", "<select><p>Main", "<iframe src=x /><p>Main", "<script><p>Main", "<canvas><p>Main"):
+        assert texts(page) == ["Main"], page
+    assert texts("<div><video><p>no</p></div><p>a</p><video>no</video>") == ["a"]
+    assert texts("<p>a</p><select><option>no<option>no</select><p>b") == ["a", "b"]
+
+
+def test_signs_inside_quotes():
+    assert texts('<p title="a>b">x text</p>') == texts("<p title='a>b' x = \">\">x text</p>") == texts('<p a=b"c>x text') == ["x text"]
+    assert texts("a < b <3 </> c") == ["a < b <3 c"]
+
+
+def test_numbers_of_any_length():
+    assert texts("&#" + "9" * 20_000 + ";&#" + "0" * 20_000 + "65;&#x" + "f" * 20_000 + ";") == ["\ufffdA\ufffd"]
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " * 1_700_000, "<p>hi</p><" + "a" * 5_000_000, "<!-- " * 1_000_000, '<a b="' * 800_000, "<script>" * 100_000, "<div>" * 100_000 + "</x>" * 100_000, "<a " + "=" * 5_000_000, "<select>" * 100_000],
+    ids=["open tags", "open name", "comments", "quotes", "scripts", "stray ends", "equal signs", "selects"],
+)
+def test_time_is_in_proportion(page):
+    start = time.process_time()
+    leaf_blocks(page)
+    assert time.process_time() - start < 10
+
+
+def test_forward_and_backward_sums_are_those_of_all_chains():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 6):
+        score, steps = rng.normal(size=n) * 3, rng.normal(size=(2, 2)) * 2
+        p, pair, whole = np.zeros(n), np.zeros((2, 2)), 0.0
+        for chain in itertools.product((0, 1), repeat=n):
+            w = math.exp(sum(s for s, c in zip(score, chain, strict=True) if c) + sum(steps[a, b] for a, b in itertools.pairwise(chain)))
+            whole += w
+            p += w * np.array(chain)
+            for a, b in itertools.pairwise(chain):
+                pair[a, b] += w
+        got = _expected(score.tolist(), steps)
+        assert np.allclose(got[0], p / whole) and np.allclose(got[1], pair / whole)
+
+
 def test_page_with_every_kind_of_boilerplate(field):
     page = """<html><head><title>T</title></head><body><div class="cookie-notice">We use cookies. <button>OK</button></div>
     <nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav><header><h2>Site name</h2></header>

@@ -12,16 +12,25 @@ likelihood, on labelled pages: by default on pages that are drawn by rule from
 the layouts below.  Its weights, a few thousand numbers, travel to the tasks;
 a page is read and decoded where it lies.
 
+A page is read once from left to right, in time in proportion to its length,
+whatever it holds.
+
 Defined results: null, empty and text-free pages give an empty text; unclosed
-and stray tags, and tags inside scripts, are read as browsers do as far as text
-goes; repeated rows give the same text; an empty table gives an empty result.
+and stray tags, a '>' inside a quoted attribute, and tags inside scripts are
+read as browsers do as far as text goes, but an element without its end tag
+(an open script, select or video) hides nothing; comments and tags that the
+page's end cuts off are no text; repeated rows give the same text; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import math
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -35,9 +44,10 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var wbr".split()
 )
-UNSEEN = set("script style noscript template svg iframe object canvas audio video math select".split())
+UNSEEN = set("noscript template svg object canvas audio video math select".split())
 HEAD = set("html base basefont bgsound link meta title noscript style script template".split())  # these leave the head open
-FOREIGN = {"svg", "math"}  # only these can be closed by '/>'
+TEXT_RAW = set("script style textarea title".split())  # '/>' does not close them
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in (*TEXT_RAW, "iframe", "noembed", "noframes", "xmp")}  # what they hold is no markup
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
@@ -45,124 +55,205 @@ CLOSES_P = set(
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+DEPTH = 512  # elements nested deeper give their text, but no marks
+NAMES = 32  # words of an element's names that become marks
 _BARRIER = {"table", "ul", "ol", "dl", "div", "article", "section", "body", "nav", "aside"}
 
-_TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:-->|\Z))"
-    r"|<(script|style|noscript|template|svg(?![^>]*/>)|iframe|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+# A tag's attributes and its '>', which may stand inside a quoted value; possessive, so that no text is read twice.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)*+)(>?)""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+
+Block = tuple[tuple[str, ...], str, int]  # ancestor marks, each once, and the own tag; text; characters inside links
+
 
-Block = tuple[tuple[str, ...], str, int]  # ancestor marks, text, characters inside links
+def plain(text: str) -> str:
+    """Character references decoded (numbers beyond Unicode, of any length, as U+FFFD), white space made one blank."""
+    if "&" in text:
+        text = html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", text)))
+    return _BLANK.sub(" ", text).strip()
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether an end tag, attributes) of each tag, and with no name of what else is no text, read once from left to right."""
+    never: set[str] = set()  # what does not come any more
+    at, size = 0, len(page)
+
+    def after(end: re.Pattern | str, start: int) -> int:
+        """Where the next `end` begins; -1 if there is none, which is looked for once."""
+        key = end if isinstance(end, str) else end.pattern
+        if key in never:
+            return -1
+        found = page.find(end, start) if isinstance(end, str) else (m.start() if (m := end.search(page, start)) else -1)
+        if found < 0:
+            never.add(key)
+        return found
+
+    while (start := page.find("<", at)) >= 0:
+        kind = page[start + 1 : start + 2]
+        if kind == "!" and page.startswith("--", start + 2):
+            short = next((n for n in ("<!-->", "<!--->") if page.startswith(n, start)), "")
+            found = start + len(short) if short else after("-->", start + 4)
+            at = size if found < 0 else found if short else found + 3
+            yield start, at, "", False, ""
+            continue
+        closing = kind == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        if name is None:
+            at = start + 1
+            if kind in ("!", "?", "/"):
+                at = after(">", start) + 1 or size
+                yield start, at, "", False, ""
+            continue
+        rest = _REST.match(page, name.end())
+        tag, at = name[0].lower(), rest.end()
+        if not rest[2]:  # a tag that the page's end cuts off is no text
+            yield start, size, "", False, ""
+            return
+        if tag in RAW and not closing and not (rest[1].endswith("/") and tag not in TEXT_RAW):
+            end = after(RAW[tag], at)
+            if end >= 0:  # one that is never closed hides nothing
+                at = _REST.match(page, end + 2 + len(tag)).end()
+                yield start, at, "", False, ""
+                continue
+        yield start, at, tag, closing, rest[1]
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []  # block elements: tag, its marks
-    unseen = 0
+    stack: list[tuple[str, tuple[str, ...], bool]] = []  # block elements: tag, the marks down to it, whether unseen
+    opened: Counter[str] = Counter()  # tags of the stack
+    deep: list[str] = []  # elements below DEPTH, as tags alone
+    hidden = 0  # unseen elements of the stack
+    last_end: dict[str, int] = {}
+    lower = ""
     head = begun = False  # inside the head; whether the body has begun
     links = 0
     blocks: list[Block] = []
     parts: list[str] = []
-    linked = 0
-    at = 0
+    linked = at = 0
 
     def end() -> None:
         nonlocal linked
-        text = _BLANK.sub(" ", html.unescape("".join(parts))).strip()
+        text = plain("".join(parts)) if parts else ""
         parts.clear()
         if text:
-            blocks.append((tuple(m for _, marks in stack for m in marks), text, linked))
+            blocks.append(((*stack[-1][1], stack[-1][0]) if stack else (), text, linked))
         linked = 0
 
-    def pop_to(tags: set[str], barrier: set[str]) -> None:
+    def pop_to(names: set[str], barrier: set[str]) -> None:
+        nonlocal hidden
+        if not any(opened[n] for n in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
+            if stack[i][0] in names:
                 end()
+                for tag, _, unseen in stack[i:]:
+                    opened[tag] -= 1
+                    hidden -= unseen
                 del stack[i:]
+                deep.clear()
                 return
             if stack[i][0] in barrier:
                 return
 
-    for token in _TOKEN.finditer(page):
-        if token.start() > at and not unseen:
-            text = page[at : token.start()]
-            if text.strip():
-                head, begun = False, True
-            if not head:
+    for start, stop, tag, closing, attributes in tags(page):
+        if start > at and not hidden:
+            text = page[at:start]
+            if not head or text.strip():
+                head, begun = False, begun or bool(text.strip())
                 parts.append(text)
             if links:
                 linked += len(text)
-        at = token.end()
-        tag = (token[3] or token[1] or "").lower()
+        at = stop
+        if not tag:
+            continue
         if tag == "head":
             end()
-            head, begun = not token[2] and not begun, begun or bool(token[2])
+            head, begun = not closing and not begun, begun or closing
             continue
-        if tag and tag not in HEAD and not token[2] or tag in ("body", "html", "br") and token[2]:
+        if tag not in HEAD and not closing or tag in ("body", "html", "br") and closing:
             head, begun = False, True
-        if token[3] is None or head:
+        if head:
             continue
-        if tag in UNSEEN and tag in FOREIGN and token[4].endswith("/"):
-            end()
-        elif tag in UNSEEN:
-            unseen = max(0, unseen + (-1 if token[2] else 1))
-            end()
-        elif tag == "body":
-            unseen = 0
-        elif tag == "a":
-            links = 0 if token[2] else 1
-        elif tag in INLINE:
+        if tag == "a":
+            links = int(not closing)
+        elif tag in INLINE or tag in ("body", "html"):
             pass
         elif tag == "br":
             parts.append(" ")
         elif tag in VOID:
             end()
-        elif token[2]:
-            pop_to(HEADINGS if tag in HEADINGS else {tag}, _BARRIER if tag == "p" or tag in HEADINGS else set())
+        elif closing:
+            if deep and tag in deep:
+                end()
+                del deep[len(deep) - 1 - deep[::-1].index(tag) :]
+            else:
+                pop_to(HEADINGS if tag in HEADINGS else {tag}, _BARRIER if tag == "p" or tag in HEADINGS else {"template"} - {tag})
             end()
         else:
+            unseen = tag in UNSEEN
+            if unseen:
+                if tag not in last_end:
+                    lower = lower or page.lower()
+                    last_end[tag] = lower.rfind("</" + tag)
+                if attributes.endswith("/") or last_end[tag] < at:  # closed at once, or never: it hides nothing
+                    end()
+                    continue
             if tag in CLOSES_P:
                 pop_to({"p"}, _BARRIER)
             if tag in SIBLINGS:
                 pop_to(SIBLINGS[tag], _BARRIER - SIBLINGS[tag])
             end()
-            names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(token[4])).lower()
-            stack.append((tag, (tag, *("." + w for w in _WORD.findall(names)))))
-    if at < len(page) and not unseen:
+            if len(stack) >= DEPTH and not unseen:
+                deep = [*deep[-DEPTH:], tag]
+                continue
+            names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(attributes)).lower()
+            above = stack[-1][1] if stack else ()
+            own = dict.fromkeys([tag, *("." + w for w in _WORD.findall(names)[:NAMES])])
+            stack.append((tag, (*above, *(m for m in own if m not in above)), unseen))
+            opened[tag] += 1
+            hidden += unseen
+    if at < len(page) and not hidden:
         parts.append(page[at:])
     end()
     return blocks
 
 
-def features(block: Block, before: Block | None) -> list[str]:
+def path_features(marks: tuple[str, ...]) -> list[str]:
+    """Of the ancestors alone."""
+    found = ["in:" + m for m in marks[:-1]]
+    if marks:
+        found.append("own:" + marks[-1])
+    if "article" not in marks and "main" not in marks:
+        found.append("outside")
+    return found
+
+
+def text_features(block: Block, before: Block | None) -> list[str]:
     marks, text, linked = block
-    found = {"in:" + m for m in marks}
-    tags = [m for m in marks if m[0] != "."]
-    if tags:
-        found.add("own:" + tags[-1])
     words = text.count(" ") + 1
-    found.add(f"words:{min(words.bit_length(), 7)}")
-    found.add(f"links:{min(4, 4 * linked // max(1, len(text)))}")
+    found = [f"words:{min(words.bit_length(), 7)}", f"links:{min(4, 4 * linked // len(text))}"]
     if text[-1] in ".!?:;\"'”»…":
-        found.add("stop")
+        found.append("stop")
     if words > 3 and text.count(",") * 12 >= words:
-        found.add("commas")
+        found.append("commas")
     if "©" in text or "All rights" in text:
-        found.add("copyright")
+        found.append("copyright")
     if "|" in text or "·" in text:
-        found.add("bars")
+        found.append("bars")
     if before is None:
-        found.add("first")
+        found.append("first")
     elif before[0] == marks:
-        found.add("like before")
-    if not any(m in ("article", "main") for m in marks):
-        found.add("outside")
-    return list(found)
+        found.append("like before")
+    return found
+
+
+def features(block: Block, before: Block | None) -> list[str]:
+    return path_features(block[0]) + text_features(block, before)
 
 
 class Field:
@@ -170,11 +261,15 @@ class Field:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, steps: np.ndarray):
         self.index, self.weights, self.steps = index, weights, steps
+        self.known = {f: float(weights[i]) for f, i in index.items()}
 
     def scores(self, blocks: list[Block]) -> list[float]:
-        get, w, before, found = self.index.get, self.weights, None, []
+        get, before, found = self.known.get, None, []
+        of_path: dict[tuple[str, ...], float] = {}
         for b in blocks:
-            found.append(float(sum(w[i] for f in features(b, before) if (i := get(f)) is not None)))
+            if (path := of_path.get(b[0])) is None:
+                path = of_path[b[0]] = sum(get(f, 0.0) for f in path_features(b[0]))
+            found.append(path + sum(get(f, 0.0) for f in text_features(b, before)))
             before = b
         return found
 
@@ -205,6 +300,31 @@ class Field:
         return "\n\n".join(b[1] for b, main in zip(blocks, self.decode(blocks), strict=True) if main)
 
 
+def _expected(score: list[float], steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chance of the main state at each block, and the expected number of each step, by scaled forward and backward sums."""
+    (t00, t01), (t10, t11) = np.exp(steps).tolist()
+    main = [math.exp(min(30.0, max(-30.0, s))) for s in score]
+    total = 1 + main[0]
+    ahead = [(1 / total, main[0] / total)]
+    for m in main[1:]:
+        a, b = ahead[-1]
+        a, b = a * t00 + b * t10, (a * t01 + b * t11) * m
+        ahead.append((a / (a + b), b / (a + b)))
+    p, pair = np.empty(len(score)), np.zeros((2, 2))
+    back0 = back1 = 1.0
+    p[-1] = ahead[-1][1]
+    for i in range(len(score) - 2, -1, -1):
+        a, b = ahead[i]
+        m = main[i + 1]
+        each = (a * t00 * back0, a * t01 * m * back1, b * t10 * back0, b * t11 * m * back1)
+        total = sum(each)
+        pair += np.array(each).reshape(2, 2) / total
+        back0, back1 = (t00 * back0 + t01 * m * back1), (t10 * back0 + t11 * m * back1)
+        back0, back1 = back0 / (back0 + back1), back1 / (back0 + back1)
+        p[i] = b * back1 / (a * back0 + b * back1)
+    return p, pair
+
+
 def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 25, rate: float = 0.3, ridge: float = 1e-3, seed: int = 1) -> Field:
     """By stochastic gradients of the conditional log-likelihood, from forward and backward sums."""
     index: dict[str, int] = {}
@@ -219,24 +339,13 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 25, rate: f
         order.shuffle(rows)
         speed = rate / (1 + done / 5)
         for feats, truth in rows:
-            n = len(feats)
-            score = np.zeros((n, 2))
-            score[:, 1] = [weights[f].sum() for f in feats]
-            alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
-            alpha[0] = score[0]
-            for i in range(1, n):
-                alpha[i] = np.logaddexp(alpha[i - 1, 0] + steps[0], alpha[i - 1, 1] + steps[1]) + score[i]
-            for i in range(n - 2, -1, -1):
-                ahead = beta[i + 1] + score[i + 1]
-                beta[i] = np.logaddexp(steps[:, 0] + ahead[0], steps[:, 1] + ahead[1])
-            whole = np.logaddexp(alpha[-1, 0], alpha[-1, 1])
-            p = np.exp(alpha[:, 1] + beta[:, 1] - whole)
+            score = [float(weights[f].sum()) for f in feats]
+            p, pair = _expected(score, steps)
             for f, g in zip(feats, speed * (truth - p), strict=True):
                 weights[f] += g
-            pair = np.exp(alpha[:-1, :, None] + steps + (score + beta)[1:, None, :] - whole).sum(axis=0)
             seen = np.zeros((2, 2))
             np.add.at(seen, (truth[:-1], truth[1:]), 1)
-            steps += speed * (seen - pair) / max(1, n - 1)
+            steps += speed * (seen - pair) / max(1, len(feats) - 1)
         weights *= 1 - ridge
     return Field(index, weights, steps)
 
@@ -353,7 +462,9 @@ def labelled_page(pieces: list[tuple[str, bool]]) -> tuple[str, list[Block], lis
     return "".join(x for x, _ in pieces), blocks, truth
 
 
+@functools.cache
 def default_field(n: int = 500, seed: int = 11) -> Field:
+    """Trained once a process on n drawn pages."""
     rng = random.Random(seed)
     return train([labelled_page(drawn_page(rng))[1:] for _ in range(n)])
 
