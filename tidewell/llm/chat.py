@@ -5,17 +5,28 @@ inside a text or role get a backslash after their first character, and those
 that have backslashes there already get one more, so reading back takes one
 away and every text survives.
 
-The turns of a conversation, in order, have running token sums.  A turn over
-half the budget BUDGET stands alone in its span; the turns between two such
-are cut where their running sum passes a multiple of half the budget, so a span
-holds at most BUDGET tokens, and only a single turn that is longer exceeds it.
-Each span becomes a window: the first system turn (where the span does not hold
-it), up to HISTORY_TURNS turns before the span as long as they hold at most
-HISTORY tokens, then the span.  The loss mask is over the assistant texts of
-the span; repeated turns are masked, so each assistant text is a target once.
+A turn's tokens are counted as the UTF-8 bytes of its rendered, escaped form: no
+byte-level tokenizer makes more tokens than that, so a budget holds whichever
+is used after.  Running sums of them, over the turns in order, choose the spans.
+A window is, in this order, the first system turn, repeated turns of history,
+and a span; together they hold at most BUDGET:
+
+* A system turn of at most SYSTEM is repeated before every later span; a longer
+  one is shown in its own span only.
+* A span has what BUDGET leaves beside HISTORY and the system turn.  A turn over
+  half of that stands alone; the turns between two such are cut where their
+  running sum passes a multiple of half.
+* Up to HISTORY_TURNS turns right before the span are repeated as far as they
+  hold at most HISTORY, and what the window has left.
+* So only a window of one turn that is itself longer than BUDGET exceeds it, and
+  that window repeats nothing.
+
+The loss mask is over the assistant texts of the span; repeated turns are
+masked, so each assistant text is a target once.
 
 Everything is DataFrame operations: window functions over a conversation,
-which spill, and aggregation of a window's turns, which the budget bounds.
+which spill, and aggregation of a window's turns, which the budget bounds.  The
+digests of a whole conversation put its texts into one row (2 GB at most).
 
 Defined results: null text is empty; a null or other role is kept as a string
 ("" if null) and is no target; turns with one number are ordered by role and
@@ -28,8 +39,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET = 2048
-HISTORY = 512
+BUDGET = 8192
+HISTORY = 2048
+SYSTEM = 2048
 HISTORY_TURNS = 2
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -59,55 +71,60 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%")))
 
 
-def spans(turns: DataFrame, budget: int) -> DataFrame:
-    """turns (conv_id, at, tokens ...) with the number of their span."""
+def spans(turns: DataFrame, budget: Column) -> DataFrame:
+    """turns (conv_id, at, tokens ...) with the number of their span and whether they begin it; budget is the same throughout a conversation."""
     ordered = Window.partitionBy("conv_id").orderBy("at")
-    turns = turns.withColumn("big", (F.col("tokens") > budget // 2).cast("long"))
+    turns = turns.withColumn("half", F.floor(budget / 2))
+    turns = turns.withColumn("big", (F.col("tokens") > F.col("half")).cast("long"))
     turns = turns.withColumn("run", 2 * F.sum("big").over(ordered) - F.col("big"))  # odd: a big turn, even: those between
     run = Window.partitionBy("conv_id", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("step", F.floor(F.coalesce(F.sum("tokens").over(run), F.lit(0)) / (budget // 2)))
+    turns = turns.withColumn("step", F.floor(F.coalesce(F.sum("tokens").over(run), F.lit(0)) / F.col("half")))
     before = [F.lag(c).over(ordered) for c in ("run", "step")]
-    fresh = before[0].isNull() | (before[0] != F.col("run")) | (before[1] != F.col("step"))
-    return turns.withColumn("span", F.sum(fresh.cast("long")).over(ordered) - 1).drop("big", "run", "step")
+    turns = turns.withColumn("fresh", before[0].isNull() | (before[0] != F.col("run")) | (before[1] != F.col("step")))
+    return turns.withColumn("span", F.sum(F.col("fresh").cast("long")).over(ordered) - 1).drop("half", "big", "run", "step")
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """A row for each window: conv_id, window, formatted, n_repeated (turns before the span's), loss (spans of code points: start, length)."""
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM) -> DataFrame:
+    """A row for each window: conv_id, window, formatted, tokens (the bound), n_repeated (turns before the span's), loss (spans of code points: start, length)."""
+    if budget < history + system + 2:
+        raise ValueError("budget must leave room beside history and system")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("at", F.row_number().over(order))
-    turns = turns.withColumn("tokens", F.ceil(F.length("text") / 4) + 4)
-    turn = F.struct("at", "tokens", "role", "text")
-    ordered = Window.partitionBy("conv_id").orderBy("at")
-    system = F.first(F.when(F.col("role") == "system", turn), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    turns = spans(turns, budget).withColumn("system", system)
-    turns = turns.withColumns({f"h{i}": F.lag(turn, i).over(ordered) for i in range(1, HISTORY_TURNS + 1)})
+    turns = turns.select(
+        "conv_id", "at", "role", F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n")).alias("a"), escape(F.col("text")).alias("b")
+    )
+    turns = turns.withColumn("tokens", F.octet_length("a") + F.octet_length("b") + len(END))
+    lead = F.min(F.when(F.col("role") == "system", F.struct("at", "tokens"))).over(Window.partitionBy("conv_id"))
+    turns = turns.withColumn("lead", lead).withColumn("lead", F.when(F.col("lead")["tokens"] <= system, F.col("lead")))
+    turns = spans(turns, budget - history - F.coalesce(F.col("lead")["tokens"], F.lit(0)))
 
-    own = F.array_sort(F.collect_list(turn))
+    ordered = Window.partitionBy("conv_id").orderBy("at")
+    turn = F.struct("at", "tokens", "a", "b", (F.col("role") == "assistant").alias("target"))
+    first = F.first(F.when(F.col("at") == F.col("lead")["at"], turn), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    repeated = {"system": first} | {f"h{i}": F.lag(turn, i).over(ordered) for i in range(1, HISTORY_TURNS + 1)}
+    turns = turns.select("conv_id", "span", "fresh", turn.alias("turn"), *[c.alias(k) for k, c in repeated.items()])
+    turns = turns.withColumns({k: F.when(F.col("fresh"), F.col(k)) for k in repeated})  # where a span begins, and nowhere else
     parts = turns.groupBy("conv_id", F.col("span").alias("window")).agg(
-        own.alias("own"), F.min_by(F.struct("system", *[f"h{i}" for i in range(1, HISTORY_TURNS + 1)]), "at").alias("head")
+        F.array_sort(F.collect_list("turn")).alias("own"), F.sum("turn.tokens").alias("held"), F.max_by(F.struct(*repeated), "fresh").alias("head")
     )
-    kept, held = F.array(), F.lit(0)
+
+    s, room = F.col("head")["system"], budget - F.col("held")
+    with_system = F.coalesce(s["tokens"] <= room, F.lit(False))
+    room = F.least(F.lit(history).cast("bigint"), room - F.when(with_system, s["tokens"]).otherwise(0))
+    kept, held, fits = F.array().cast(parts.schema["own"].dataType), F.lit(0), F.lit(True)
     for i in range(1, HISTORY_TURNS + 1):
         h = F.col("head")[f"h{i}"]
         held = held + h["tokens"]
-        kept = F.when(h.isNotNull() & (held <= history), F.concat(F.array(h), kept)).otherwise(kept)
-    s = F.col("head")["system"]
-    first = F.element_at(F.concat("past", "own"), 1)["at"]
-    parts = parts.withColumn("past", kept)
-    lead = F.when(s.isNotNull() & (s["at"] < first), F.concat(F.array(s), "past")).otherwise(F.col("past"))
-    parts = parts.withColumn("past", lead).withColumn("n_repeated", F.size("past").cast("long"))
-    shown = F.transform(
-        F.concat("past", "own"),
-        lambda t, i: F.struct(
-            F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("a"), escape(t["text"]).alias("b"),
-            ((t["role"] == "assistant") & (i >= F.col("n_repeated"))).alias("target"),
-        ),
-    )
-    parts = parts.withColumn("shown", shown)
+        fits = fits & F.coalesce((held <= room) & ~(with_system & (h["at"] <= s["at"])), F.lit(False))
+        kept = F.when(fits, F.concat(F.array(h), kept)).otherwise(kept)
+    parts = parts.withColumn("past", F.when(with_system, F.concat(F.array(s), kept)).otherwise(kept))
+    parts = parts.withColumn("shown", F.concat("past", "own")).withColumn("n_repeated", F.size("past").cast("long"))
     formatted = F.array_join(F.transform("shown", lambda t: F.concat(t["a"], t["b"], F.lit(END))), "")
-    lengths = F.transform("shown", lambda t: F.struct(F.length(t["a"]).alias("a"), F.length(t["b"]).alias("b"), t["target"].alias("target")))
+    lengths = F.transform(
+        "shown", lambda t, i: F.struct(F.length(t["a"]).alias("a"), F.length(t["b"]).alias("b"), (t["target"] & (i >= F.col("n_repeated"))).alias("target"))
+    )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("found"))
 
     def step(acc: Column, t: Column) -> Column:
@@ -118,7 +135,9 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         )
 
     loss = F.aggregate(lengths, start, step, lambda acc: acc["found"])
-    return parts.select("conv_id", "window", formatted.alias("formatted"), "n_repeated", loss.alias("loss"))
+    tokens = F.octet_length("formatted").cast("long").alias("tokens")
+    parts = parts.select("conv_id", "window", formatted.alias("formatted"), "n_repeated", loss.alias("loss"))
+    return parts.select("conv_id", "window", "formatted", tokens, "n_repeated", "loss")
 
 
 def read_back(formed: DataFrame) -> DataFrame:

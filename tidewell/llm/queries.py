@@ -140,7 +140,7 @@ FROM fit GROUP BY doc_id, bytes
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-1, 0, 'user', '{said}'), (-1, 1, 'assistant', '{said}') AS v(conv_id, turn, role, text)")
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_digests(windows(conversations.unionAll(extra)))
 
