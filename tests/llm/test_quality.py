@@ -95,3 +95,11 @@ def test_nothing_passes_the_base_rules(spark, nothing, scratch):
 def test_clashing_names(clashing, scratch):
     got = quality(clashing, scratch, carry=clashing.columns)
     assert got.count() == len(odd_rows()) and got.where("shard = 'own'").count() == len(odd_rows())
+
+
+def test_a_corpus_of_mostly_junk_does_not_set_its_own_reference(spark, scratch):
+    rng = random.Random(8)
+    junk = [" ".join("".join(rng.choices("zxqjkvwy", k=rng.randint(3, 9))) for _ in range(150)) for _ in range(60)]
+    rows = [(i, t, "en") for i, t in enumerate(junk)] + [(100 + i, prose(rng, 200), "en") for i in range(6)]
+    got = quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), scratch)
+    assert {r.doc_id for r in got.where("kept").collect()} == set(range(100, 106))

@@ -3,8 +3,10 @@
 One pass over the texts takes, for each document, the base counts, a histogram
 of character classes and a histogram of common words.  The reference of a
 language is the sum of those histograms over all its documents that pass the
-base rules; languages without a list of common words share one reference, of
-character classes only: its words are nearly all "no common word", as are those
+base rules and of whose words at least one in ANCHOR is on the fixed list of
+the language, so that a corpus of mostly junk does not set its own reference;
+languages without a list of common words share one reference, of character
+classes only: its words are nearly all "no common word", as are those
 of junk.  A document of a listed language is held against the nearest reference
 of the listed languages by the Jensen-Shannon distance, base 2 (0 the same, 1
 disjoint), so a mix of two of them or the label of another does not reject it.
@@ -34,6 +36,7 @@ from .scratch import Scratch
 MIN_WORDS = 50  # base rule
 CLASS_MIN_CHARS = 200
 WORD_MIN_WORDS = 100
+ANCHOR = 10
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.24
 WORD_NOISE = 1.5
@@ -51,6 +54,7 @@ COMMON = {
 }
 _WORDS = {w.encode(): i for i, w in enumerate(dict.fromkeys(" ".join(COMMON.values()).split()))}
 N_WORDS = len(_WORDS) + 1  # and all others
+_OWN = {lang: [_WORDS[w.encode()] for w in words.split()] for lang, words in COMMON.items()}
 
 # Character classes, told by bytes; a character beyond ASCII counts by its first byte.
 _CLASSES = (
@@ -142,10 +146,16 @@ def nearest(references: dict[str, list[int]]):
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The histograms of each language in a batch, added up."""
+    """The histograms of each language in a batch, added up over the documents that are told to be of it."""
     for batch in batches:
+        lang = batch.column("lang").to_numpy(zero_copy_only=False).astype(str)
         hist = np.hstack([batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for n in ("classes", "common")])
-        langs, at = np.unique(batch.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        words, told = hist[:, N_CLASSES:], np.ones(len(lang), bool)
+        for name, own in _OWN.items():
+            mine = lang == name
+            told[mine] = ANCHOR * words[np.ix_(mine, own)].sum(axis=1) >= words[mine].sum(axis=1)
+        langs, at = np.unique(lang[told], return_inverse=True)
+        hist = hist[told]
         total = np.zeros((len(langs), hist.shape[1]), np.int64)
         np.add.at(total, at, hist)
         kind = pa.schema([("lang", pa.string()), ("hist", pa.list_(pa.int64()))])
