@@ -12,6 +12,13 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: then v is the smallest node of each component, as u > v."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    seen = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("lowest"))
+    return seen.where("ups > 1 OR (ups = 1 AND lowest = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of edges (a, b) but the roots; root is the smallest node reachable.
 
@@ -21,12 +28,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star0"
     )
-    seen, step = None, 0
-    while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if mark == seen or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen, step = mark, step + 1
+    step = 0
+    while not _are_stars(now):
+        step += 1
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = _nearest(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -34,3 +38,4 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = scratch.cut(small.unionAll(near.select("u", F.col("m").alias("v"))).distinct(), f"star{step}")
         scratch.drop(f"star{step - 1}")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
