@@ -14,10 +14,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give this package to the executors' Python workers, once per application, in batches that suit long texts."""
+    """Give this package to the executors' Python workers, once per application.
+
+    The registered queries and the pipeline call it.  Who calls operators with
+    Python parts directly calls it once, or installs the package on the executors.
+    """
     context = spark.sparkContext
-    if spark.conf.get(BATCH, None) in (None, "10000"):  # Spark's own choice
-        spark.conf.set(BATCH, BATCH_ROWS)
     if context.applicationId not in _shipped:
         package = Path(__file__).parent
         archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
@@ -27,3 +29,10 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
     return spark
+
+
+def for_documents(spark: SparkSession) -> SparkSession:
+    """Arrow batches that suit long texts, unless the session has its own; for applications, the library's operators leave the session alone."""
+    if spark.conf.get(BATCH, None) in (None, "10000"):  # Spark's own choice
+        spark.conf.set(BATCH, BATCH_ROWS)
+    return spark
