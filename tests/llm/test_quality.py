@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -6,7 +7,7 @@ import pytest
 
 from tidewell.llm.quality import js_distance, quality
 
-from .conftest import odd_rows
+from .conftest import odd_rows, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
