@@ -7,6 +7,7 @@ user text do.
 from __future__ import annotations
 
 import html
+import re
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pyarrow as pa
@@ -26,9 +27,17 @@ def either(*columns: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in columns])
 
 
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+
+
+def unescape(t: str) -> str:
+    """Character references decoded; numbers beyond Unicode, of any length, as U+FFFD."""
+    return html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", t)))
+
+
 @F.arrow_udf(T.StringType())
 def _unescape(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+    return pa.array([None if t is None else unescape(t) for t in texts.to_pylist()], pa.string())
 
 
 def squeeze(c: Column) -> Column:
@@ -80,14 +89,17 @@ def slug_token(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Za-z0-9]+", "")
 
 
-def clean_url(url: str) -> str:
-    """URL-1 for one url: scheme supplied, tracking parameters dropped, query encoded anew."""
+def clean_url(url: str) -> str | None:
+    """URL-1 for one url: scheme supplied, tracking parameters dropped, query encoded anew; None if it is malformed, so that its row is invalid."""
     url = url.strip()
     if url.startswith("//"):
         url = "https:" + url
-    parts = urlsplit(url)
-    if not parts.scheme:
-        parts = urlsplit("https://" + url.lstrip("/"))
+    try:
+        parts = urlsplit(url)
+        if not parts.scheme:
+            parts = urlsplit("https://" + url.lstrip("/"))
+    except ValueError:
+        return None
     query = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k not in D.TRACKING_KEYS]
     return urlunsplit(parts._replace(query=urlencode(query)))
 
@@ -99,7 +111,7 @@ def _clean_urls(urls: pa.Array) -> pa.Array:
 
 def product_url(c: Column) -> Column:
     """URL-1.  A url with a scheme and no query needs no Python."""
-    plain = F.rlike(c, F.lit(r"^https?://[^\s?#;]*$"))
+    plain = F.rlike(c, F.lit(r"^https?://[^\s?#;\[\]]*$"))
     return F.when(plain, c).otherwise(_clean_urls(F.when(~plain, c)))
 
 
@@ -131,9 +143,20 @@ def price_of_number(c: Column) -> Column:
     return F.when(c > 0, c.try_cast("bigint"))
 
 
-def raw_price(c: Column) -> Column:
-    """SRC-12: an attribute's number, else its digits."""
-    return F.coalesce(F.trim(c).try_cast("bigint"), F.regexp_replace(c, "[^0-9]", "").try_cast("bigint"))
+def price_of_variant(v: Column) -> Column:
+    """NUM-1 for JSON values: numbers as numbers, texts by their digits, true and false as none."""
+    kind = F.schema_of_variant(v)
+    whole, number = F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "double")
+    shown = F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    return (
+        F.when(kind == "BIGINT", F.when(whole > 0, whole))
+        .when(F.rlike(kind, F.lit("^(DECIMAL|DOUBLE|FLOAT)")), F.when(number > 0, F.least(number, F.lit(9e18)).cast("bigint")))
+        .when(kind.isin("BOOLEAN", "VOID"), F.lit(None).cast("bigint")).otherwise(price_of_text(shown))
+    )
+
+
+def price_of(c: Column, kind: str) -> Column:
+    return price_of_text(c) if kind == "string" else price_of_variant(c) if kind == "variant" else price_of_number(c)
 
 
 def crawl_time(c: Column) -> Column:

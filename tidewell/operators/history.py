@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 HISTORY = "listing_id string, seq bigint, at_ms bigint, price bigint, previous_price bigint, price_change bigint"
 
 
-def change_points(prices: DataFrame, key: str, time: str, price: str) -> DataFrame:
-    """WIN-1, WIN-2: rows whose price is not that of the row before, with previous_price and price_change."""
-    before = F.lag(price).over(Window.partitionBy(key).orderBy(time))
-    found = prices.withColumn("previous_price", before)
+def change_points(prices: DataFrame, key: str, time: str, price: str, seq: str) -> DataFrame:
+    """WIN-1, WIN-2: rows whose price is not that of the row before, with previous_price and price_change.
+
+    Rows without a price are no observations; those of one time are in the order of `seq`.
+    """
+    before = F.lag(price).over(Window.partitionBy(key).orderBy(time, seq))
+    found = prices.where(F.col(price).isNotNull()).withColumn("previous_price", before)
     found = found.where(F.col("previous_price").isNull() | (F.col("previous_price") != F.col(price)))
     return found.withColumn("price_change", F.col(price) - F.col("previous_price"))
 
@@ -57,13 +60,27 @@ def latest_stored(history: DataFrame) -> DataFrame:
     return known.groupBy("listing_id").agg(F.max("at_ms").alias("stored_at"), F.max_by("price", "at_ms").alias("stored_price"))
 
 
-def replay(arrivals: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """WIN-1 exactly: the rows that arrivals (listing_id, seq, at_ms, price) append to history."""
+def merge_latest(latest: DataFrame, appended: DataFrame) -> DataFrame:
+    """latest_stored after a batch, from that before it and what the batch appended: the cost of listings, not of their history."""
+    new = latest_stored(appended).toDF("listing_id", "new_at", "new_price")
+    both = latest.join(new, "listing_id", "full_outer")
+    newer = F.coalesce(F.col("new_at") >= F.col("stored_at"), F.col("stored_at").isNull())
+    return both.select("listing_id", *[F.when(newer, F.col(f"new_{c}")).otherwise(F.col(f"stored_{c}")).alias(f"stored_{c}") for c in ("at", "price")])
+
+
+def newest(history: DataFrame) -> DataFrame:
+    """Of appended rows (with `batch`) of one listing and millisecond, that of the latest batch."""
+    columns = [c for c in history.columns if c not in ("listing_id", "at_ms", "batch")]
+    return history.groupBy("listing_id", "at_ms").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("listing_id", "at_ms", "r.*")
+
+
+def replay(arrivals: DataFrame, history: DataFrame | None = None, latest: DataFrame | None = None) -> DataFrame:
+    """WIN-1 exactly: the rows that arrivals (listing_id, seq, at_ms, price) append to history, or to one whose latest_stored is given."""
     rows = arrivals.where("price IS NOT NULL AND at_ms IS NOT NULL").select("listing_id", "seq", "at_ms", F.col("price").cast("bigint").alias("price"))
-    if history is None:
+    if history is None and latest is None:
         rows = rows.selectExpr("*", "CAST(NULL AS BIGINT) AS stored_at", "CAST(NULL AS BIGINT) AS stored_price")
     else:
-        rows = rows.join(latest_stored(history), "listing_id", "left")
+        rows = rows.join(latest_stored(history) if latest is None else latest, "listing_id", "left")
     rows = rows.repartition("listing_id").sortWithinPartitions("listing_id", "seq")
     appended = rows.mapInArrow(_fold, HISTORY)
     last = F.max_by(F.struct("seq", "price", "previous_price", "price_change"), "seq").alias("r")

@@ -43,10 +43,10 @@ PRICES = "(SELECT user_id AS listing_id, event_id, ts, trunc(value / 50)::BIGINT
 # ---- history ---------------------------------------------------------------
 @query(f"""
 SELECT listing_id, event_id, price, previous_price, price - previous_price AS price_change
-FROM (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY ts) AS previous_price FROM {PRICES})
+FROM (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS previous_price FROM {PRICES})
 WHERE previous_price IS NULL OR previous_price <> price""")
 def price_history_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = history.change_points(_prices(spark, sf_dir), "listing_id", "ts", "price")
+    found = history.change_points(_prices(spark, sf_dir), "listing_id", "ts", "price", "event_id")
     return found.select("listing_id", "event_id", "price", "previous_price", "price_change")
 
 

@@ -19,43 +19,64 @@ LISTINGS = (
     "crawled_at timestamp, updated_at timestamp"
 )
 HISTORY = "listing_id string, at_ms bigint, history_id string, seq bigint, price bigint, previous_price bigint, price_change bigint"
+LATEST = "listing_id string, stored_at bigint, stored_price bigint"
 MALLS = "code string, name string, display_name string, active boolean"
 SELLERS = "slug string, seller_name string, normalized_seller_name string, mall_id string, active boolean"
 
 
-def run_batch(store: Store, raw: DataFrame, masters: dict[str, DataFrame], version: int, job_id: str, mall_id: str, as_of: Column,
+CRAWL_JOBS = "job_id string, mall_id string, status string, keyword string, started_at timestamp, completed_at timestamp, error_message string"
+CRAWL_LOGS = "log_id string, job_id string, mall_id string, at bigint, level string, message string, created_at timestamp"
+
+
+def run_batch(store: Store, raw: DataFrame, masters: dict[str, DataFrame], batch: int, job_id: str, mall_id: str, as_of: Column,
               keyword: str | None = None, on_persist_error: str = "isolate") -> DataFrame:
     """Process, resolve and upsert a batch in one commit; returns the processed rows with `persist_error`.
 
+    It reads what batches before `batch` committed, so running it again after a
+    failure gives the same tables; if `batch` is committed, nothing is written.
+    Products, listings, malls, sellers and the latest price of each listing are
+    replaced; price history and logs gain a folder.
+
     on_persist_error: 'isolate' leaves a row that cannot be stored out; 'fail'
     stores only what arrived before the first such row.
     """
     processed = listing.process(raw).withColumn("persist_error", F.when(F.col("error").isNull(), listing.persist_error()))
-    processed = refdata.resolve(processed, *[masters[k] for k in ("board_partners", "gpu_models", "gpu_vendors", "gpu_families")]).cache()
-    checked = processed.where("error IS NULL AND persist_error IS NULL")  # these name their mall, resolved or not
-    processed = processed.withColumn("persist_error", F.coalesce("persist_error", F.when(F.col("error").isNull(), F.col("resolve_error")))).drop("resolve_error")
+    processed = refdata.resolve(processed, *[masters[k] for k in ("board_partners", "gpu_models", "gpu_vendors", "gpu_families")])
+    unresolved = F.coalesce("persist_error", F.when(F.col("error").isNull(), F.col("resolve_error")))
+    processed = processed.withColumn("named", F.expr("error IS NULL AND persist_error IS NULL")).withColumn("persist_error", unresolved).drop("resolve_error")
+    if store.committed(batch):
+        return processed.drop("named")
+    processed = store.stage(processed, batch, "processed")  # read five times below
+    checked = processed.where("named")  # these name their mall, resolved or not
     valid = processed.where("error IS NULL AND persist_error IS NULL")
     if on_persist_error == "fail":
         first = processed.where("persist_error IS NOT NULL").agg(F.min("seq")).first()[0]
         valid = valid if first is None else valid.where(F.col("seq") < first)
 
+    latest = store.read("latest_prices", LATEST, batch)
     appended = history.replay(
-        valid.select(F.concat_ws("_", "mall_id", "product_id").alias("listing_id"), "seq", F.unix_millis("crawled_at").alias("at_ms"), "price"),
-        store.read("price_history", HISTORY),
+        valid.select(F.concat_ws("_", "mall_id", "product_id").alias("listing_id"), "seq", F.unix_millis("crawled_at").alias("at_ms"), "price"), latest=latest
     )
-    store.write(
-        version,
+    appended = store.stage(appended, batch, "appended")
+    store.commit(
+        batch,
         {
-            "products": upsert.upsert_products(store.read("products", PRODUCTS), valid, as_of),
-            "listings": upsert.upsert_listings(store.read("listings", LISTINGS), valid, as_of),
-            "price_history": history.merge_history(store.read("price_history", HISTORY), appended),
-            "malls": refdata.insert_absent(store.read("malls", MALLS), refdata.malls(checked), "code"),
-            "sellers": refdata.insert_absent(store.read("sellers", SELLERS), refdata.sellers(valid), "slug"),
+            "products": upsert.upsert_products(store.read("products", PRODUCTS, batch), valid, as_of),
+            "listings": upsert.upsert_listings(store.read("listings", LISTINGS, batch), valid, as_of),
+            "latest_prices": history.merge_latest(latest, appended),
+            "malls": refdata.insert_absent(store.read("malls", MALLS, batch), refdata.malls(checked), "code"),
+            "sellers": refdata.insert_absent(store.read("sellers", SELLERS, batch), refdata.sellers(valid), "slug"),
         },
         {
+            "price_history": appended,
             "crawl_jobs": joblog.finished_job(processed, job_id, mall_id, keyword, as_of),
             "crawl_logs": joblog.crawl_logs(processed, job_id, mall_id, keyword, as_of),
             "validation_logs": joblog.validation_logs(processed, "pipeline", as_of),
         },
     )
-    return processed
+    return processed.drop("named")
+
+
+def price_history(store: Store) -> DataFrame:
+    """The price history of all batches; of rows of one listing and millisecond, that of the latest batch."""
+    return history.newest(store.read_all("price_history", HISTORY))

@@ -35,7 +35,6 @@ def clean(df: DataFrame, references: bool = True) -> DataFrame:
 def normalize(df: DataFrame) -> DataFrame:
     """STR-3..6, URL-*, NUM-1, DT-1."""
     kind = dict(df.dtypes)["price"]
-    price = text.price_of_text if kind == "string" else text.price_of_number
     named = F.col("product_name").isNotNull()
     df = df.withColumn("raw_product_name", F.when(named, text.either(F.col("raw_product_name"), F.col("product_name"))).otherwise(F.col("raw_product_name")))
     return df.withColumns(
@@ -43,7 +42,7 @@ def normalize(df: DataFrame) -> DataFrame:
             "normalized_product_name": text.blank_to_null(text.normalize_product_name(F.coalesce("product_name", "raw_product_name"))),
             "mall_id": F.coalesce(text.mall_code(text.either(F.col("mall"), F.col("mall_id"))), "mall_id"),
             "seller": text.seller_name(F.col("seller")),
-            "price": price(F.col("price")),
+            "price": text.price_of(F.col("price"), kind),
             "product_url": text.product_url(F.col("product_url")),
             "image_url": text.image_url(F.col("image_url")),
             "bad_timestamp": F.col("crawled_at").isNotNull() & text.crawl_time(F.col("crawled_at").cast("string")).isNull(),
@@ -119,8 +118,9 @@ def validation_error() -> Column:
 
 
 def validate(df: DataFrame) -> DataFrame:
-    # the row id is never negative; it keeps the optimizer from copying the whole chain into each filter on `error`
-    df = df.withColumn("error", F.when(F.monotonically_increasing_id() >= 0, validation_error()))
+    # an explosion of one row each: what the chain computed is a column from here on, which no filter on `error` computes again
+    df = df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
+    df = df.select(*df.columns, F.explode(F.array(validation_error())).alias("error"))
     return df.withColumns({"mall": text.either(F.col("mall"), F.col("mall_id")), "board_partner_id": text.either(F.col("board_partner_id"), F.col("brand"))})
 
 

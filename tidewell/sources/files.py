@@ -14,9 +14,18 @@ CSV_NORMALISED = (
 )
 
 
+JSON_RAW = RAW.replace("price string", "price variant")  # a number is not its digits: see text.price_of_variant
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-14: objects a line; unknown keys are left out, missing ones null."""
-    return spark.read.schema(RAW).json(path)
+    """SRC-14: objects a line; unknown keys are left out, missing ones null; prices keep their JSON kind."""
+    return spark.read.schema(JSON_RAW).json(path)
+
+
+def json_listings(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """SRC-26: listings of the JSON bodies of an API's answers, each an array of objects or one object."""
+    items = F.from_json(body, f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in JSON_RAW.split(', '))}>>")
+    return bodies.select(F.explode(items).alias("r")).select("r.*")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

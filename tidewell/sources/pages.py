@@ -85,6 +85,7 @@ def units(pages: pa.Array) -> pa.Array:
 def parse_ssg(pages: DataFrame) -> DataFrame:
     """pages (html, crawled_at) -> raw listings; all rows of a page share its time."""
     rows = pages.select("crawled_at", F.posexplode(units("html")).alias("position", "u"))
+    # SRC-12: the attribute's number, else its digits
     price = F.coalesce(F.trim("u.price_text").try_cast("bigint"), F.regexp_replace("u.price_text", "[^0-9]", "").try_cast("bigint"))
     return rows.select(
         F.lit("SSG").alias("mall"), "position", "u.product_id", "u.product_name", price.alias("price"), "u.seller", "u.product_url", "u.image_url", "crawled_at"

@@ -1,49 +1,82 @@
-"""Versioned Parquet snapshots of catalog tables behind one pointer.
+"""Catalog tables as Parquet folders, made visible by a log of committed batches.
 
-A run writes all its tables under a new version and then renames the pointer,
-so readers see all of them or none; a failed run leaves nothing visible.
+A batch writes each of its tables into a fresh folder and then one small commit
+that names them, so readers see all of a batch or none of it.  Some tables are
+replaced by a batch, and read from its latest folder; others are appended to,
+one folder a batch, and read from all of them.  A batch reads only what earlier
+batches committed and never writes into a folder that exists: a batch that
+failed half-way can run again, and one that is committed has nothing to do.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COMMIT = "table string, appended boolean, folder string, batch bigint"
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def pointer(self) -> dict[str, str]:
-        """table -> folder, of the newest complete run."""
-        if not self._fs.exists(self._path(self.root)):
-            return {}
-        runs = sorted(str(s.getPath().getName()) for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().endswith(".json"))
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{runs[-1]}").collect())) if runs else {}
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        """The table, empty if no run wrote it."""
-        folder = self.pointer().get(name)
-        return self.spark.read.parquet(folder) if folder else self.spark.createDataFrame([], schema)
-
-    def write(self, version: int, tables: dict[str, DataFrame], append: dict[str, DataFrame] | None = None) -> None:
-        """Replace tables and append to others in one commit; version rises with every run."""
-        at = dict(self.pointer())
-        for name, df in tables.items():
-            folder = f"{self.root}/{name}/v{version:010d}"
-            df.write.mode("overwrite").parquet(folder)
-            at[name] = folder
-        for name, df in (append or {}).items():
-            folder = f"{self.root}/{name}/v{version:010d}"
-            old = self.spark.read.parquet(at[name]) if name in at else None
-            (df if old is None else old.unionByName(df)).write.mode("overwrite").parquet(folder)
-            at[name] = folder
-        part = f"{self.root}/_pointer-{version:010d}"
-        out = self._fs.create(self._path(part), True)
-        out.write(json.dumps(at).encode())
-        out.close()
-        self._fs.rename(self._path(part), self._path(f"{self.root}/pointer-{version:010d}.json"))
+        # batch 0 commits nothing; it is there so that the log can be read
+        spark.createDataFrame([], "table string, appended boolean, folder string").write.mode("ignore").parquet(f"{self.root}/_commits/batch=0")
+
+    def commits(self, before: int | None = None) -> list:
+        """The committed folders (of batches before one), oldest first: a row a table and batch."""
+        log = self.spark.read.schema(COMMIT).parquet(f"{self.root}/_commits")
+        return (log if before is None else log.where(F.col("batch") < before)).orderBy("batch", "table").collect()
+
+    def committed(self, batch: int) -> bool:
+        return any(c["batch"] == batch for c in self.commits())
+
+    def read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
+        """A replaced table as of the last batch (before one), empty if none wrote it."""
+        folders = [c["folder"] for c in self.commits(before) if c["table"] == name and not c["appended"]]
+        return self.spark.read.parquet(f"{self.root}/{folders[-1]}") if folders else self.spark.createDataFrame([], schema)
+
+    def read_all(self, name: str, schema: str, before: int | None = None) -> DataFrame:
+        """An appended table, all batches (before one), each row with its `batch`."""
+        folders = [f"{self.root}/{c['folder']}" for c in self.commits(before) if c["table"] == name and c["appended"]]
+        return self.spark.read.parquet(*folders) if folders else self.spark.createDataFrame([], f"{schema}, batch bigint")
+
+    def stage(self, df: DataFrame, batch: int, name: str) -> DataFrame:
+        """df written once under no name that readers know, and read back."""
+        folder = f"{self.root}/_staged/{name}-{batch:010d}-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def commit(self, batch: int, replaced: dict[str, DataFrame], appended: dict[str, DataFrame] | None = None) -> None:
+        """All tables of a batch at once; only a batch after all committed ones."""
+        last = max((c["batch"] for c in self.commits()), default=0)
+        if batch <= last:
+            raise ValueError(f"batch {batch} is not after batch {last}")
+        rows = []
+        for name, df, append in [(n, df, False) for n, df in replaced.items()] + [(n, df, True) for n, df in (appended or {}).items()]:
+            folder = f"{name}/{batch:010d}-{uuid.uuid4().hex}"
+            (df.withColumn("batch", F.lit(batch).cast("bigint")) if append else df).write.parquet(f"{self.root}/{folder}")
+            rows.append((name, append, folder))
+        log = self.spark.createDataFrame(rows, "table string, appended boolean, folder string").coalesce(1)
+        log.write.mode("overwrite").parquet(f"{self.root}/_commits/batch={batch}")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete staged tables, folders that no commit names, and replaced ones but the last `keep` of each table; the number deleted."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        files = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        named: dict[str, list] = {}
+        for c in self.commits():
+            named.setdefault(c["table"], []).append(c)
+        live = {c["folder"] for mine in named.values() for c in (mine if mine[-1]["appended"] else mine[-keep:])}
+        deleted = 0
+        for table in files.listStatus(path(self.root)):
+            name = table.getPath().getName()
+            if name == "_commits":
+                continue
+            for folder in files.listStatus(table.getPath()):
+                if f"{name}/{folder.getPath().getName()}" not in live:
+                    files.delete(folder.getPath(), True)
+                    deleted += 1
+        return deleted

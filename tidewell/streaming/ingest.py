@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import run_batch
-from ..plans.listing import RAW
+from ..sources.files import JSON_RAW
 from ..sources.snapshots import Store
 
 
 def listing_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(path)
+    return spark.readStream.schema(JSON_RAW).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
 def ingest(stream: DataFrame, store: Store, masters: dict[str, DataFrame], checkpoint: str, mall_id: str) -> StreamingQuery:
-    """Every available listing into the catalog; a batch that is run again writes the same version."""
+    """Every available listing into the catalog; a micro-batch that is run again is the same batch of the store, and is stored once."""
 
     def batch(df: DataFrame, number: int) -> None:
         run_batch(store, df, masters, number + 1, f"{mall_id}_{number}", mall_id, F.current_timestamp())
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def stateful_batches(stream: DataFrame, state_path: str, checkpoint: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]], out: str) -> StreamingQuery:
-    """foreachBatch with a state table: step(batch, state) -> (rows to append, new state)."""
-    spark = stream.sparkSession
-
-    def batch(df: DataFrame, number: int) -> None:
-        state = spark.read.parquet(f"{state_path}/{number - 1}") if number else None
-        rows, new = step(df.cache(), state)
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        new.write.mode("overwrite").parquet(f"{state_path}/{number}")
-        df.unpersist()
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
