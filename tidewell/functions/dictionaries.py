@@ -27,3 +27,4 @@ STOCK_STATES = {
 CONDITIONS = {"신품": "NEW", "new": "NEW", "중고": "USED", "used": "USED", "리퍼": "REFURBISHED", "refurbished": "REFURBISHED", "개봉": "OPEN_BOX", "open box": "OPEN_BOX"}
 IMPORTS = {"정품": "OFFICIAL", "official": "OFFICIAL", "병행수입": "PARALLEL_IMPORT", "parallel": "PARALLEL_IMPORT"}
 CONFIDENCE = {"official": "HIGH", "large_mall": "HIGH", "seller": "MEDIUM", "marketplace": "MEDIUM"}
+NOT_CARDS = ("노트북", "LAPTOP", "NOTEBOOK", "케이블", "CABLE", "장식", "게임", "호환")  # beside the keyword: laptops, cables, ornaments, games, fitting parts

@@ -57,6 +57,14 @@ def has_keyword(text: Column) -> Column:
     return F.rlike(F.upper(text), F.lit("|".join(D.KEYWORDS)))
 
 
+def not_a_card(text: Column) -> Column:
+    """VAL-15: the keyword is there, but the name is of something else."""
+    named = F.lit(False)
+    for word in D.NOT_CARDS:
+        named = named | F.contains(F.upper(text), F.lit(word))
+    return has_keyword(text) & named
+
+
 def variant(name: Column) -> Column:
     """EXT-10."""
     return first_contained(F.replace(F.upper(name), F.lit(" "), F.lit("")), D.VARIANTS)

@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 
 def price_stats(rows: DataFrame, key: list[str], price: str, time: str, tie: str, seller: str) -> DataFrame:
-    """AGG-6, 7, 8, 10, 11 for each key: exact median, range, change between first and last, sellers."""
+    """AGG-6, 7, 8, 10, 11 for each key: exact median, range, change between first and last, sellers.
+
+    Rows are first added up by key, seller and price, so that the second step
+    weighs prices by their numbers and a hot key is as wide as its prices.
+    """
     p, order = F.col(price), F.struct(time, tie)
-    first, last = F.min_by(price, order), F.max_by(price, order)
-    return rows.groupBy(*key).agg(
-        F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.avg(p).alias("avg_price"), F.median(p).alias("median_price"),
-        (F.max(p) - F.min(p)).alias("price_range"), F.try_divide(last - first, first).alias("change_rate"),
-        F.count_distinct(seller).alias("sellers"), F.count(F.lit(1)).alias("observations"),
+    ends = [F.min(F.struct(order.alias("o"), p.alias("p"))).alias("first"), F.max(F.struct(order.alias("o"), p.alias("p"))).alias("last")]
+    by_price = rows.groupBy(*key, seller, price).agg(F.count(F.lit(1)).alias("n"), *ends)
+    first, last = F.min("first")["p"], F.max("last")["p"]
+    counted = F.sum(F.when(p.isNotNull(), F.col("n")))
+    return by_price.groupBy(*key).agg(
+        F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.try_divide(F.sum(p * F.col("n")), counted).alias("avg_price"),
+        F.percentile(p, 0.5, F.col("n")).alias("median_price"), (F.max(p) - F.min(p)).alias("price_range"),
+        F.try_divide(last - first, first).alias("change_rate"), F.size(F.collect_set(seller)).cast("bigint").alias("sellers"), F.sum("n").alias("observations"),
     )
 
 
@@ -72,14 +79,25 @@ def anomalies(rows: DataFrame, key: str, price: str, factor: float = 3.0) -> Dat
 
 
 def unseen(listings: DataFrame, jobs: DataFrame, time: str = "crawled_at", missing: int = 3, gone: int = 10) -> DataFrame:
-    """WIN-8: listings by how many jobs of their mall began since they were seen: UNAVAILABLE from `missing`, DISCONTINUED from `gone`."""
+    """WIN-8: listings by how many jobs of their mall began since they were seen: UNAVAILABLE from `missing`, DISCONTINUED from `gone`.
+
+    Only the last `gone` job starts of a mall can tell states apart, but
+    `jobs_since` counts all: a mall's starts are one sorted array, which each of
+    its listings searches, so that listings never meet.  Starts are few (a
+    crawl a mall a few times a day); Spark broadcasts the arrays while they are
+    small and joins by mall beyond.
+    """
     seen = listings.groupBy("mall_id", "listing_id").agg(F.max(time).alias("last_seen_at"))
-    started = jobs.select("mall_id", F.col("started_at").alias("at"), F.lit(None).cast("string").alias("listing_id"))
-    events = seen.select("mall_id", F.col("last_seen_at").alias("at"), "listing_id").unionByName(started)
-    later = Window.partitionBy("mall_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = events.withColumn("since", F.count_if(F.col("listing_id").isNull()).over(later)).where("listing_id IS NOT NULL")
+    starts = jobs.groupBy("mall_id").agg(F.array_sort(F.collect_list("started_at")).alias("starts"))
+    since = F.size(F.filter("starts", lambda at: at >= F.col("last_seen_at")))
+    counted = seen.join(starts, "mall_id", "left").withColumn("since", F.coalesce(F.when(F.col("starts").isNotNull(), since), F.lit(0)).cast("bigint"))
     state = F.when(F.col("since") >= gone, "DISCONTINUED").when(F.col("since") >= missing, "UNAVAILABLE").otherwise("AVAILABLE")
-    return counted.select("mall_id", "listing_id", F.col("at").alias("last_seen_at"), F.col("since").alias("jobs_since"), state.alias("status"))
+    return counted.select("mall_id", "listing_id", "last_seen_at", F.col("since").alias("jobs_since"), state.alias("status"))
+
+
+def repeated_prices(rows: DataFrame, key: str, time: str, price: str) -> DataFrame:
+    """VAL-16: records of one key, time and price that were stored more than once, with how often."""
+    return rows.groupBy(key, time, price).agg(F.count(F.lit(1)).alias("records")).where("records > 1")
 
 
 def deals(stats: DataFrame, change: str, key: str, n: int) -> DataFrame:

@@ -13,6 +13,26 @@ def by_key(df: DataFrame, **keys: object) -> DataFrame:
     return df
 
 
+def active(df: DataFrame, flag: str = "active") -> DataFrame:
+    """RD-1, DEL-1: rows in use; nothing is deleted."""
+    return df.where(F.col(flag))
+
+
+def by_price(listings: DataFrame, price: str, *ties: str, **keys: object) -> DataFrame:
+    """RD-4: listings of a mall, cheapest first."""
+    return by_key(listings, **keys).orderBy(price, *ties)
+
+
+def chart(history: DataFrame, time: str, *ties: str, **keys: object) -> DataFrame:
+    """RD-7: a listing's price history in time."""
+    return by_key(history, **keys).orderBy(time, *ties)
+
+
+def logs_of_jobs(jobs: DataFrame, logs: DataFrame, key: str = "job_id") -> DataFrame:
+    """JN-10: the logs of the jobs, each with its job's columns."""
+    return logs.join(jobs, key)
+
+
 def name_prefix(products: DataFrame, column: str, prefix: str) -> DataFrame:
     """RD-3."""
     return products.where(F.startswith(column, F.lit(prefix)))

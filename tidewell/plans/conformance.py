@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
 from ..functions import gpu, text
-from ..operators import analytics, catalog, history, joblog, refdata, upsert
+from ..operators import analytics, catalog, history, joblog, matching, refdata, upsert
 from ..session import ship
 from . import listing
+from .ingest import LATEST, LISTINGS, PRODUCTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,10 +114,10 @@ def listings_of_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").orderBy("l_extendedprice")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'a') OR starts_with(p_name, 'P')")
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'small') OR starts_with(p_name, 'red w')")
 def product_name_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    found = catalog.name_prefix(parts, "p_name", "a").unionAll(catalog.name_prefix(parts, "p_name", "P"))
+    found = catalog.name_prefix(parts, "p_name", "small").unionAll(catalog.name_prefix(parts, "p_name", "red w"))
     return found.select("p_partkey", "p_name")
 
 
@@ -485,17 +486,18 @@ def ensure_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH i AS (SELECT l_partkey AS k, arg_max(l_extendedprice, seq) AS price, arg_max(note, seq) FILTER (note IS NOT NULL) AS note FROM (
-  SELECT l_partkey, l_extendedprice, CASE WHEN l_linenumber = 2 THEN l_returnflag || l_suppkey END AS note, l_orderkey * 1000000 + l_linenumber * 100000 + l_suppkey AS seq FROM lineitem WHERE l_partkey % 2 = 0)
+  SELECT l_partkey, l_extendedprice, CASE WHEN l_linenumber = 2 THEN l_returnflag || l_suppkey END AS note, l_orderkey * 1000000 + l_linenumber * 100000 + l_suppkey AS seq FROM lineitem)
   GROUP BY 1),
-e AS (SELECT p_partkey AS k, p_name, p_retailprice AS price, CASE WHEN p_partkey % 3 = 0 THEN 'old' END AS note FROM part WHERE p_partkey % 4 <> 2)
+e AS (SELECT p_partkey * 2 AS k, p_name, p_retailprice AS price, CASE WHEN p_partkey % 3 = 0 THEN 'old' END AS note FROM part)
 SELECT coalesce(i.k, e.k) AS k, p_name, coalesce(i.price, e.price) AS price, coalesce(i.note, e.note) AS note FROM e FULL JOIN i ON i.k = e.k""")
 def merge_upsert_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey % 2 = 0").select(
+    """Keys of the existing side are doubled, so that some are on one side alone."""
+    lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("k"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_linenumber") == 2, F.concat("l_returnflag", F.col("l_suppkey").cast("string"))).alias("note"),
         (F.col("l_orderkey") * 1_000_000 + F.col("l_linenumber") * 100_000 + F.col("l_suppkey")).alias("seq"),
     )
-    existing = table(spark, sf_dir, "part").where("p_partkey % 4 <> 2").select(
-        F.col("p_partkey").alias("k"), "p_name", F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 3 == 0, "old").alias("note")
+    existing = table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") * 2).alias("k"), "p_name", F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 3 == 0, "old").alias("note")
     )
     return upsert.merge(existing, upsert.fold(lines, ["k"], ["price", "note"], keep=["note"]), ["k"], keep=["note"])
 
@@ -520,22 +522,11 @@ def match_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", level.alias("m")).select("p_partkey", "m.*")
 
 
-@query("""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
-SELECT q.vec_id AS "query", v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v JOIN v q ON q.vec_id < 5 AND q.vec_id <> v.vec_id
-WHERE list_cosine_similarity(q.e, v.e) >= 0.2""")
-def similarity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IDN-9: a stated set of five queries against all vectors."""
-    vectors = table(spark, sf_dir, "embeddings")
-    found = analytics.similar(vectors, "vec_id", "embedding", vectors.where("vec_id < 5"), 0.2)
-    return found.withColumn("cosine", F.round("cosine", 6))
-
-
 @query("""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT q.vec_id AS "query", v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v JOIN v q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
 WHERE list_cosine_similarity(q.e, v.e) >= 0.2""")
-def similarity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def similarity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDN-9: every vector whose id is divisible by 20 against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     found = analytics.similar(vectors, "vec_id", "embedding", vectors.where("vec_id % 20 = 0"), 0.2)
@@ -551,3 +542,150 @@ def offer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     fee = text.shipping_fee(F.when(k == 0, "무료배송").when(k == 1, "2,500원").otherwise("문의"))
     total = text.final_price(F.col("o_totalprice"), fee, F.lit(None))
     return table(spark, sf_dir, "orders").select("o_orderkey", text.lookup(stock, D.STOCK_STATES).alias("stock"), fee.alias("fee"), F.round(total, 4).alias("final_price"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN nullif(trunc(value)::BIGINT, 0) WHEN event_id % 4 = 1 AND value > 0 THEN trunc(value)::BIGINT WHEN event_id % 4 = 2 THEN NULL ELSE nullif(trunc(value)::BIGINT, 0) END AS price FROM events")
+def json_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NUM-1, SRC-14: prices as JSON whole numbers, fractions, negative numbers and texts."""
+    k, whole = F.col("event_id") % 4, F.floor("value").cast("bigint").cast("string")
+    shown = F.when(k == 0, whole).when(k == 1, F.col("value").cast("decimal(12,2)").cast("string")).when(k == 2, F.concat(F.lit("-1"), whole)).otherwise(F.concat(F.lit('"₩ '), whole, F.lit('"')))
+    events = table(spark, sf_dir, "events").select("event_id", F.parse_json(shown).alias("price"))
+    return events.select("event_id", text.price_of(F.col("price"), "variant").alias("price"))
+
+
+# ---- further reads, joins and lookups ---------------------------------------
+@query("SELECT p_partkey, p_brand, p_type FROM part WHERE p_size > 10")
+def active_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-1."""
+    return catalog.active(table(spark, sf_dir, "part").withColumn("active", F.col("p_size") > 10)).select("p_partkey", "p_brand", "p_type")
+
+
+@query("SELECT p_partkey, p_brand, p_name FROM part WHERE p_size = 20")
+def products_of_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-2."""
+    return catalog.by_key(table(spark, sf_dir, "part"), p_size=20).orderBy("p_brand", "p_partkey").select("p_partkey", "p_brand", "p_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_suppkey = 3")
+def listings_of_mall_by_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-4."""
+    found = catalog.by_price(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_orderkey", "l_linenumber", l_suppkey=3)
+    return found.select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f"SELECT listing_id, event_id, price FROM {PRICES} WHERE listing_id = 5")
+def price_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-7."""
+    return catalog.chart(_prices(spark, sf_dir), "ts", "event_id", listing_id=5).select("listing_id", "event_id", "price")
+
+
+@query("SELECT o_orderkey, o_orderstatus, l_linenumber, l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+def logs_of_failed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-10: orders as jobs, their lines as logs."""
+    jobs = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
+    logs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_linestatus")
+    return catalog.logs_of_jobs(jobs, logs, "o_orderkey")
+
+
+@query("SELECT p_partkey, p_partkey % 4 IN (1, 2) AS other FROM part")
+def not_a_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-15."""
+    k = F.col("p_partkey") % 4
+    tail = F.when(k == 0, " 16GB").when(k == 1, " 노트북").when(k == 2, " power Cable").otherwise(" OC")
+    return table(spark, sf_dir, "part").select("p_partkey", gpu.not_a_card(F.concat(F.lit("rtx 5080 "), "p_brand", tail)).alias("other"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'ASUS' WHEN 1 THEN 'MSI' WHEN 2 THEN 'ZOTAC' ELSE o_orderpriority END AS brand,
+  CASE o_orderkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  CASE o_orderkey % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'USED' WHEN 2 THEN 'OPEN_BOX' ELSE 'UNKNOWN' END AS condition,
+  CASE o_orderkey % 4 WHEN 0 THEN 'OFFICIAL' WHEN 1 THEN 'PARALLEL_IMPORT' ELSE 'UNKNOWN' END AS import,
+  CASE o_orderkey % 4 WHEN 2 THEN 'HITINFO' ELSE o_clerk END AS seller
+FROM (SELECT *, 'Clerk ' || o_custkey AS o_clerk FROM orders)""")
+def documented_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-10, 11, 14, 15: aliases of brands and sellers, source confidence, condition and import."""
+    k = F.col("o_orderkey") % 4
+    pick = lambda *names: F.when(k == 0, names[0]).when(k == 1, names[1]).when(k == 2, names[2])
+    seller = F.when(k == 2, " 히트정보 ").otherwise(F.concat(F.lit("Clerk "), F.col("o_custkey").cast("string")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", text.alias(pick("AsusTek", "Micro-Star", "조텍").otherwise(F.col("o_orderpriority")), D.BRAND_ALIASES).alias("brand"),
+        text.lookup(pick("official", "Marketplace", "?").otherwise(F.lit("")), D.CONFIDENCE, "LOW").alias("confidence"),
+        text.lookup(pick("신품", " USED", "open box").otherwise(F.lit("?")), D.CONDITIONS).alias("condition"),
+        text.lookup(pick("정품", "Parallel", "?").otherwise(F.lit("")), D.IMPORTS).alias("import"), text.alias(seller, {"히트정보": "HITINFO"}).alias("seller"),
+    )
+
+
+@query("SELECT user_id, day, price, count(*) AS records FROM (SELECT user_id, ts::DATE AS day, trunc(value / 50)::BIGINT AS price FROM events) GROUP BY ALL HAVING count(*) > 1")
+def repeated_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-16: price records of one day and price stored more than once."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.floor(F.col("value") / 50).cast("bigint").alias("price"))
+    return analytics.repeated_prices(rows, "user_id", "day", "price")
+
+
+_OFFERS_SQL = """
+SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'AB ' || p_size || p_brand END AS mpn, upper(p_brand) AS brand, CASE WHEN p_partkey % 5 <> 4 THEN upper(replace(p_type, ' ', '')) END AS chip,
+  p_size AS vram, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' OC' ELSE '' END AS name, p_partkey % 2 = 0 AS oc, p_partkey % 7 = 0 AS used FROM part"""
+
+
+@query(f"""
+WITH l AS ({_OFFERS_SQL}), r AS (SELECT * REPLACE (id + 1000000 AS id, id % 3 = 0 AS used) FROM l),
+m AS (
+  SELECT l.id AS left_id, r.id AS right_id, 1 AS level FROM l JOIN r ON l.used = r.used AND upper(regexp_replace(l.mpn, '[^A-Za-z0-9]+', '', 'g')) = upper(regexp_replace(r.mpn, '[^A-Za-z0-9]+', '', 'g'))
+  UNION ALL SELECT l.id, r.id, 3 FROM l JOIN r ON l.used = r.used AND l.brand = r.brand AND l.chip = r.chip AND l.vram = r.vram AND l.oc = r.oc
+  UNION ALL SELECT l.id, r.id, 4 FROM l JOIN r ON l.used = r.used AND upper(trim(l.name)) = upper(trim(r.name)) AND l.vram = r.vram AND l.oc = r.oc)
+SELECT left_id, b.right_id, b.level, CASE b.level WHEN 1 THEN 1.0 WHEN 3 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence, b.level = 4 AS review
+FROM (SELECT left_id, arg_min({{'level': level, 'right_id': right_id}}, level * 100000000 + right_id) AS b FROM m GROUP BY left_id)""")
+def match_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IDN-8, IDN-10: parts as offers of two sources, which differ in what is used."""
+    parts, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    left = parts.select(
+        k.alias("id"), F.when(k % 5 == 0, F.concat(F.lit("ab-"), F.col("p_size").cast("string"), "p_brand")).alias("mpn"), none.alias("model_name"), F.col("p_brand").alias("brand"),
+        F.when(k % 5 != 4, F.col("p_type")).alias("gpu_model"), F.col("p_size").alias("vram_gb"), F.concat("p_name", F.when(k % 2 == 0, " OC").otherwise("")).alias("name"),
+        F.when(k % 7 == 0, "used").alias("condition"),
+    )
+    right = left.withColumns({"condition": F.when(F.col("id") % 3 == 0, "USED").otherwise("new"), "id": F.col("id") + 1_000_000})
+    return matching.match_sources(left, right)
+
+
+_UPSERTS_SQL = "SELECT p_partkey AS k, 'SSG_' || p_partkey AS listing_id, 'ZOTAC-RTX' || (p_size + 4000) || '-SOLIDCORE-16GB' AS product_id, nullif(floor(p_retailprice)::BIGINT, 0) AS price FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 3 <> 0"
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The valid parts, and half of them again at another price without an image."""
+    valid = listing.process(_raw_parts(spark, sf_dir).withColumn("image_url", F.lit("//i/1.jpg"))).where("error IS NULL")
+    again = valid.where("p_partkey % 2 = 0").withColumns({"price": F.col("price") + 1000, "image_url": F.lit(None).cast("string"), "seq": F.col("seq") + 10_000_000})
+    return [valid, again]
+
+
+@query(f"SELECT listing_id, product_id, price + CASE WHEN k % 2 = 0 THEN 1000 ELSE 0 END AS current_price, 'https://i/1.jpg' AS image_url, CASE WHEN k % 2 = 0 THEN '2026-09-02' ELSE '2026-09-01' END AS updated FROM ({_UPSERTS_SQL})")
+def listing_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPS-3, JN-8: listings after two batches."""
+    now = spark.createDataFrame([], LISTINGS)
+    for day, batch in enumerate(_two_batches(spark, sf_dir), 1):
+        now = upsert.upsert_listings(now, batch, F.lit(f"2026-09-0{day} 00:00:00").cast("timestamp"))
+    return now.select("listing_id", "product_id", "current_price", "image_url", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query(f"SELECT product_id AS canonical_product_id, 'ZOTAC' AS brand, TRUE AS active, '2026-09-01' AS created, CASE WHEN bool_or(k % 2 = 0) THEN '2026-09-02' ELSE '2026-09-01' END AS updated FROM ({_UPSERTS_SQL}) GROUP BY 1")
+def product_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPS-2, JN-7: products after two batches."""
+    now = spark.createDataFrame([], PRODUCTS)
+    for day, batch in enumerate(_two_batches(spark, sf_dir), 1):
+        now = upsert.upsert_products(now, batch, F.lit(f"2026-09-0{day} 00:00:00").cast("timestamp"))
+    return now.select("canonical_product_id", "brand", "active", *[F.date_format(f"{c}_at", "yyyy-MM-dd").alias(c) for c in ("created", "updated")])
+
+
+@query(f"""
+SELECT 'SSG_' || user_id AS listing_id, at_ms, price, previous_price, price - previous_price AS price_change
+FROM (SELECT *, epoch_us(ts) // 1000 AS at_ms, lag(price) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_price FROM (SELECT user_id, event_id, ts, trunc(value / 50)::BIGINT AS price FROM events))
+WHERE previous_price IS NULL OR previous_price <> price""")
+def price_history_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPS-4, AGG-1: history of two batches, the second over the latest prices after the first, in the order of time."""
+    rows = _prices(spark, sf_dir).select(F.concat(F.lit("SSG_"), F.col("listing_id").cast("string")).alias("listing_id"), F.row_number().over(Window.partitionBy("listing_id").orderBy("ts", "event_id")).cast("bigint").alias("seq"),
+                                         F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "price", "ts")
+    early = rows.where("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'").drop("ts")
+    latest = history.merge_latest(spark.createDataFrame([], LATEST), first := history.replay(early))
+    second = history.replay(rows.where("ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").drop("ts"), latest=latest)
+    both = first.withColumn("batch", F.lit(1)).unionByName(second.withColumn("batch", F.lit(2)))
+    return history.newest(both).select("listing_id", "at_ms", "price", "previous_price", "price_change")
