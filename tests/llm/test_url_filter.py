@@ -2,7 +2,8 @@ import re
 
 import pytest
 
-from tidewell.llm.url_filter import RULES, filter_urls, labelled_urls, train
+from pyspark.sql import functions as F
+from tidewell.llm.url_filter import ORDINARY, RULES, UNWANTED, filter_urls, labelled_urls, train, url_features, url_parts
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -52,6 +53,20 @@ def test_held_out_urls(spark, model):
     assert (got.blocked == got.b).mean() > 0.9
 
 
+def test_urls_of_other_words(spark):
+    """On words that no training url has, shape alone tells some of the unwanted (0.38 as measured) and hardly any of the others (0.03)."""
+    made = train(labelled_urls(spark, 6000, UNWANTED[::2], ORDINARY[::2]))
+    pages = labelled_urls(spark, 4000, UNWANTED[1::2], ORDINARY[1::2]).selectExpr("url", "blocked AS page_id")
+    got = filter_urls(pages, *made, rules=()).selectExpr("page_id AS blocked", "verdict = 'block' AS b").toPandas()
+    assert got.b[got.blocked].mean() > 0.3 and got.b[~got.blocked].mean() < 0.05
+
+
+def test_parameters_are_counted_as_such(spark):
+    urls = [("http://a/?x=1&y=2#z=3", 2), ("http://a/b=c", 0), ("http://a/?&&q", 1), ("http://a/?=a=b=", 1), (None, 0)]
+    rows = spark.createDataFrame(urls, "url string, n int").withColumns(url_parts(F.col("url")))
+    assert [r.n_params for r in rows.select("n", *url_features(F.col("url"))).collect()] == [n for _, n in urls]
+
+
 def test_a_table_of_ones_own(spark):
     rows = [(f"http://good{i % 50}.org/a/{i}", False) for i in range(200)] + [(f"http://evil{i % 50}-x.org/a/{i}", True) for i in range(200)]
     own = train(spark.createDataFrame(rows, "url string, blocked boolean"))

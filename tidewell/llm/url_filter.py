@@ -9,7 +9,9 @@ suffix).  Host features are taken once for each distinct host.
 
 The trees are trained here, from a table (url, blocked) of which at most
 MAX_LABELLED rows are used; the default table is drawn by rule from the word
-lists below.  Everything is DataFrame operations and the JVM's own trees.
+lists below.  So without labelled urls of one's own the trees hold what those
+lists hold, and on names of other words only what shape tells (README).
+Everything is DataFrame operations and the JVM's own trees.
 
 Defined results: a null url, and one without ``://``, has an empty host and
 path, fits no rule and is judged on its empty features; repeated rows are judged
@@ -18,7 +20,7 @@ alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -26,6 +28,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 RULES = (
     ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"),
 )
@@ -62,7 +66,7 @@ def rule_columns(rules: Iterable[tuple[str, str]]) -> dict[str, Column]:
     return {"rule": rule, "ruled": verdict}
 
 
-def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
+def labelled_urls(spark: SparkSession, n: int = 6000, unwanted: Sequence[str] = UNWANTED, ordinary: Sequence[str] = ORDINARY) -> DataFrame:
     """(url, blocked), drawn by rule: names of unwanted words, of ordinary words and of syllables."""
 
     def pick(words: Iterable[str], salt: int) -> Column:
@@ -72,11 +76,11 @@ def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
     made = F.concat(pick(SYLLABLES, 1), pick(SYLLABLES, 2), pick(["", *SYLLABLES], 3))
     blocked = F.col("id") % 2 == 0
     glue = pick(["-", "-", ""], 4)
-    good = F.when(F.col("id") % 3 == 0, F.concat(pick(ORDINARY, 5), glue, pick(ORDINARY, 6))).otherwise(
-        F.when(F.col("id") % 5 == 0, F.concat(made, glue, pick(ORDINARY, 7))).otherwise(made)
+    good = F.when(F.col("id") % 3 == 0, F.concat(pick(ordinary, 5), glue, pick(ordinary, 6))).otherwise(
+        F.when(F.col("id") % 5 == 0, F.concat(made, glue, pick(ordinary, 7))).otherwise(made)
     )
-    other = F.when(F.col("id") % 3 == 0, made).otherwise(F.when(F.col("id") % 7 == 0, pick(["x", "24", "1", "top"], 8)).otherwise(pick(UNWANTED, 9)))
-    bad = F.concat(pick(UNWANTED, 10), glue, other)
+    other = F.when(F.col("id") % 3 == 0, made).otherwise(F.when(F.col("id") % 7 == 0, pick(["x", "24", "1", "top"], 8)).otherwise(pick(unwanted, 9)))
+    bad = F.concat(pick(unwanted, 10), glue, other)
     zone = pick(["example", "site", "", "web", "pages"], 11)
     host = F.concat(
         pick(["", "www.", "m.", "blog.", "shop."], 12), F.when(blocked, bad).otherwise(good),
@@ -128,6 +132,7 @@ def host_statistics(labelled: DataFrame) -> DataFrame:
 def host_features(hosts: DataFrame, statistics: DataFrame) -> DataFrame:
     """A row for each distinct host."""
     host = F.col("host")
+    statistics = F.broadcast(statistics)  # of at most MAX_LABELLED hosts
     odds = hosts.select("host").distinct().select("host", F.explode(_marks(host)).alias("mark")).join(statistics, "mark", "left")
     odd, first = F.coalesce("odds", F.lit(0.0)), F.substring("mark", 1, 1)
 
@@ -147,10 +152,11 @@ def host_features(hosts: DataFrame, statistics: DataFrame) -> DataFrame:
 
 def url_features(url: Column) -> list[Column]:
     url = F.coalesce(url, F.lit(""))
+    params = F.size(F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: p != ""))
     count = lambda c: F.length(url) - F.length(F.replace(url, F.lit(c), F.lit("")))
     return [
         F.length(url).alias("url_length"), F.size(F.split("path", "/")).alias("path_depth"), F.length("path").alias("path_length"),
-        _ratio(url, "[0-9]").alias("digit_ratio"), count("=").alias("n_params"), count("%").alias("n_escapes"),
+        _ratio(url, "[0-9]").alias("digit_ratio"), params.alias("n_params"), count("%").alias("n_escapes"),
         F.contains(url, F.lit("#")).cast("int").alias("has_fragment"),
     ]
 
@@ -165,14 +171,14 @@ def assembled(rows: DataFrame, statistics: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[GBTClassificationModel, DataFrame]:
     """The trees and the host statistics, of at most max_labelled rows (those with the lowest hash)."""
     labelled = labelled.orderBy(F.xxhash64("url"), "url").limit(max_labelled)
-    labelled = labelled.select("url", "blocked").withColumns(url_parts(F.col("url"))).cache()
+    scratch = Scratch(labelled.sparkSession)
+    labelled = scratch.cut(labelled.select("url", "blocked").withColumns(url_parts(F.col("url"))), "labelled")
     # each half's odds come from the other half, so that the trees do not trust names they were counted on
     half = F.pmod(F.xxhash64("host", F.lit(1)), F.lit(2)) == 0
     rows = [assembled(labelled.where(a), host_statistics(labelled.where(b))) for a, b in ((half, ~half), (~half, half))]
     rows = rows[0].unionAll(rows[1]).select("features", F.col("blocked").cast("double").alias("label"))
     model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.4, maxBins=32, seed=5).fit(rows)
-    statistics = host_statistics(labelled)
-    return model, statistics
+    return model, scratch.cut(host_statistics(labelled), "statistics")
 
 
 def filter_urls(pages: DataFrame, model: GBTClassificationModel, statistics: DataFrame, carry: Iterable[str] = ("page_id",),
