@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewell.llm.toxicity import ORDER, SPAN, DECAY, letters, score_toxicity, subsequences, tokens_of, train, windows_of
+from tidewell.llm.toxicity import _Decisions, ORDER, SPAN, DECAY, letters, score_toxicity, subsequences, tokens_of, train, windows_of
 
 from .conftest import odd_rows, prose
 
@@ -105,3 +105,19 @@ def test_empty(nothing, fitted):
 def test_clashing_names(clashing, fitted):
     got = score_toxicity(clashing, fitted[3], carry=clashing.columns)
     assert got.count() == len(odd_rows()) and got.where("shard = 'own'").count() == len(odd_rows())
+
+
+def test_repeated_ids_are_trained_on_once(spark, fitted):
+    _, docs, labels, model = fitted
+    ids = docs.select("doc_id")
+    twice = train(docs.unionAll(docs).unionAll(ids.selectExpr("doc_id", "'~ later text' AS text").where("doc_id < 0")), labels.unionAll(labels))
+    assert twice[1:] == model[1:] and twice[0] == model[0]
+
+
+def test_decisions_of_many_words_are_those_of_the_kernel():
+    rng = random.Random(3)
+    weights = {k: rng.gauss(0, 1) for w in ("zorglub", "idiöt", "ñandú", "abcabcabc") for k in subsequences(w)}
+    words = ["zorglub", "aaaaaaa", "thththth", "\U0001f600abcd", "idiöt"] + ["".join(rng.choices("abcdefgiklorzuö", k=rng.randint(4, 14))) for _ in range(500)]
+    got = _Decisions(weights, -0.5).of_words(words)
+    for w in words:
+        assert got[w] == pytest.approx(-0.5 + sum(v * weights.get(k, 0.0) for k, v in subsequences(w).items())), w

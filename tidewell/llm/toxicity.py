@@ -23,7 +23,7 @@ MAX_DOCS of each label (those with the lowest hash of doc_id); labels, lang,
 source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts score as a text without a word; repeated
-rows score alike; without labels of both kinds every score is 0; an empty table
+rows score alike; of labelled documents with one doc_id one is trained on; without labels of both kinds every score is 0; an empty table
 gives an empty result.
 """
 
@@ -32,11 +32,10 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from heapq import nlargest
-from itertools import combinations, islice, repeat
+from itertools import combinations, islice
 from math import comb
-from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +43,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import Scratch
+
 ORDER, SPAN, DECAY = 4, 6, 0.7
 WINDOW, STEP = 12, 4
 MAX_DOCS = 3000
-MAX_WORDS = 4000  # clean words to train on
+MAX_WORDS = 4000  # clean words to train on: the commonest, and as many of any kind
 CANDIDATES = 200
 LANDMARKS = 128
 HARD_ROUNDS, HARD_WORDS = 3, 1000
@@ -66,7 +67,7 @@ _SINGLES = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 Letters = tuple[str, ...]
 
 
-def _occurrences(word: str) -> list[Letters]:
+def _occurrences(word: Sequence) -> list[tuple]:
     """The letters of each subsequence of the word, by their positions."""
     found: list[Letters] = []
     for first in range(len(word) - ORDER + 1):
@@ -136,45 +137,96 @@ def words_of(text: str) -> set[str]:
     return {w for t in tokens_of(text) for w in windows_of(letters(t)) if len(w) >= ORDER}
 
 
+@functools.cache
+def _places(length: int) -> np.ndarray:
+    """The positions of each of a word's occurrences, in the order of _counts."""
+    return np.array(_occurrences(range(length)), np.int64).reshape(-1, ORDER)
+
+
+def _norms(letters: np.ndarray) -> np.ndarray:
+    """Of words (rows of letter numbers) of one length."""
+    length = letters.shape[1]
+    keys = letters[:, _places(length)] @ (1 << 16 * np.arange(ORDER, dtype=np.uint64))
+    order = np.argsort(keys, axis=1, kind="stable")
+    keys, counts = np.take_along_axis(keys, order, axis=1), np.array(_counts(length))[order]
+    fresh = np.ones(keys.shape, bool)
+    fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    starts = np.flatnonzero(fresh)
+    sums = np.add.reduceat(counts.ravel(), starts)
+    return np.sqrt(np.bincount(starts // keys.shape[1], sums * sums, len(keys)))
+
+
 class _Decisions(dict):
-    """token -> the highest decision of its windows, as met."""
+    """token -> the highest decision of its windows, learnt for many tokens at once."""
 
     def __init__(self, weights: dict[Letters, float], bias: float):
-        self.weights, self.bias = weights, bias
-        self.words: dict[str, float] = {}  # the same by the letters of a token
-
-    def word(self, word: str) -> float:
-        occurrences = _occurrences(word)
-        total = sum(map(mul, map(self.weights.get, occurrences, repeat(0.0)), _counts(len(word))))
-        return self.bias + (total / _norm(occurrences, len(word)) if total else 0.0)
-
-    def __missing__(self, token: str) -> float:
-        word = letters(token)
-        found = self.words.get(word)
-        if found is None:
-            found = max((self.word(w) for w in windows_of(word) if len(w) >= ORDER), default=self.bias)
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = found
-        if len(self) >= CACHE:
-            self.clear()
-        self[token] = found
+        self.bias, self.words = bias, {}  # words: the same by the letters of a token
+        known = sorted({c for k in weights for c in k})
+        self.code = np.zeros(max(map(ord, known), default=0) + 2, np.int64)  # 0: a letter of no weight
+        for i, c in enumerate(known):
+            self.code[ord(c)] = i + 1
+        self.size = len(known) + 1
+        ends = [[(self.code[ord(k[i])], self.code[ord(k[i + 1])]) for k in weights] for i in (0, 2)]
+        index = [{pair: i + 1 for i, pair in enumerate(dict.fromkeys(pairs))} for pairs in ends]
+        self.rows, self.columns = (np.zeros(self.size * self.size, np.int64) for _ in index)  # of the first two letters, of the last two
+        for at, found in zip((self.rows, self.columns), index, strict=True):
+            for (x, y), i in found.items():
+                at[x * self.size + y] = i
+        self.table = np.zeros((len(index[0]) + 1, len(index[1]) + 1))
+        for first, last, w in zip(*ends, weights.values(), strict=True):
+            self.table[index[0][first], index[1][last]] = w
+
+    def of_words(self, words: list[str]) -> dict[str, float]:
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for w in words:
+            by_length[len(w)].append(w)
+        found: dict[str, float] = {}
+        for length, alike in by_length.items():
+            for at in range(0, len(alike), 20_000):
+                some = alike[at : at + 20_000]
+                points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)
+                code = self.code[np.minimum(points, len(self.code) - 1)][:, _places(length)]
+                which = self.table[self.rows[code[..., 0] * self.size + code[..., 1]], self.columns[code[..., 2] * self.size + code[..., 3]]]
+                total = which @ np.array(_counts(length))
+                met = np.flatnonzero(which.any(axis=1))
+                if len(met):
+                    _, letters = np.unique(points[met], return_inverse=True)
+                    total[met] /= _norms(letters.reshape(-1, length).astype(np.uint64))
+                found.update(zip(some, (total + self.bias).tolist(), strict=True))
         return found
 
+    def learn(self, tokens: set[str]) -> None:
+        new = {t: letters(t) for t in tokens if t not in self}
+        if len(self) + len(new) > CACHE or len(self.words) > CACHE:
+            self.clear()
+            self.words.clear()
+            new = {t: letters(t) for t in tokens}
+        parts = {w: [x for x in windows_of(w) if len(x) >= ORDER] for w in set(new.values()) if w not in self.words}
+        decided = self.of_words(list({x for found in parts.values() for x in found}))
+        self.words.update((w, max(map(decided.__getitem__, found), default=self.bias)) for w, found in parts.items())
+        self.update((t, self.words[w]) for t, w in new.items())
+
 
-_decisions: dict[int, _Decisions] = {}
+_decisions: dict[int, _Decisions] = {}  # of one model, the last
 
 
 def decision(weights: dict[Letters, float], bias: float):
     """An Arrow UDF: text -> the TOP highest different decisions of its words, highest first."""
-    mark = hash((bias, len(weights), sum(weights.values())))
+    mark = hash((bias, tuple(weights.items())))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def decide(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _decisions.setdefault(mark, _Decisions(weights, bias))
+        if mark not in _decisions:
+            _decisions.clear()
+            _decisions[mark] = _Decisions(weights, bias)
+        known = _decisions[mark]
         for batch in texts:
-            found = (nlargest(TOP, set(map(known.__getitem__, tokens_of(t.as_py() or "")))) for t in batch)
-            yield pa.array(([*f, *[bias] * (TOP - len(f))] for f in found), pa.list_(pa.float64()), size=len(batch))
+            out: list[list[float]] = []
+            for at in range(0, len(batch), 256):
+                found = [tokens_of(t.as_py() or "") for t in batch.slice(at, 256)]
+                known.learn(set().union(*found))
+                out += (nlargest(TOP, set(map(known.__getitem__, x))) for x in found)
+            yield pa.array(([*f, *[bias] * (TOP - len(f))] for f in out), pa.list_(pa.float64()), size=len(batch))
 
     return decide
 
@@ -295,42 +347,57 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple | None:
-    """Weights, bias, slopes, offset; None without labels of both kinds."""
-    labels = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, candidates: int = CANDIDATES, max_words: int = MAX_WORDS,
+          hard_words: int = HARD_WORDS, hard_rounds: int = HARD_ROUNDS, rows: Column | None = None) -> tuple | None:
+    """Weights, bias, slopes, offset; None without labels of both kinds.
+
+    Trained on the labelled documents that `rows` tells (default: all but the held-out ones), at most max_docs of each
+    label, one for each doc_id; a doc_id that has both labels counts as toxic.  Of their words, at most `candidates`
+    telling ones, telling pieces and rare words around these each, max_words clean ones, and hard_words more of the
+    hardest clean ones in each of hard_rounds go into the machine.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = ~held_out() if rows is None else rows
+    labels = labels.where(rows & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = labels.where("toxic = 1").orderBy(*order).limit(max_docs).unionAll(labels.where("toxic = 0").orderBy(*order).limit(max_docs))
     some = F.broadcast(some)  # 2 * max_docs rows of two numbers
-    texts = docs.select("doc_id", "text").join(some, "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = scratch.cut(texts.select("text", "toxic"), "texts")
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
     counts = texts.mapInArrow(_word_counts, "word string, toxic bigint, clean bigint")
     counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.withColumn("ratio", _ratio(n[1], n[0])).cache()
-    telling = counts.where(F.col("ratio") >= SIGNIFICANT)
-    words = telling.where(~F.startswith("word", F.lit("~"))).orderBy(F.desc("ratio"), "word").limit(CANDIDATES).select("word", "ratio")
-    pieces = telling.where(F.startswith("word", F.lit("~"))).orderBy(F.desc("ratio"), "word").limit(CANDIDATES).select("word", "ratio")
-    words, pieces = {r["word"]: min(10.0, r["ratio"] / SIGNIFICANT) for r in words.collect()}, [r["word"][1:] for r in pieces.collect()]
+    counts = scratch.cut(counts.withColumn("ratio", _ratio(n[1], n[0])), "counts")
+
+    def top(df: DataFrame, name: str, most: int) -> dict:
+        """word -> value of the rows (word, value) with the highest values, chosen in the executors, highest first."""
+        found = scratch.cut(df.orderBy(F.desc("value"), "word").limit(most), name).collect()
+        return {r["word"]: r["value"] for r in sorted(found, key=lambda r: (-r["value"], r["word"]))}
+
+    whole, value = ~F.startswith("word", F.lit("~")), lambda c: counts.select("word", c.alias("value"))
+    telling = value(F.col("ratio")).where(F.col("value") >= SIGNIFICANT)
+    words = {w: min(10.0, ratio / SIGNIFICANT) for w, ratio in top(telling.where(whole), "telling", candidates).items()}
+    pieces = [w[1:] for w in top(telling.where(~whole), "pieces", candidates)]
     if pieces:  # words too rare to be told by themselves, around a piece that is
         around = F.greatest(*[F.contains("word", F.lit(p)).cast("int") for p in pieces], F.lit(0)) == 1
-        rare = counts.where((F.col("clean") == 0) & ~F.startswith("word", F.lit("~")) & around).orderBy(F.desc("toxic"), "word").limit(CANDIDATES)
-        words = {r["word"]: 0.5 for r in rare.collect()} | words
+        rare = top(counts.where((F.col("clean") == 0) & whole & around).select("word", F.col("toxic").alias("value")), "rare", candidates)
+        words = dict.fromkeys(rare, 0.5) | words
         words = dict(sorted(words.items(), key=lambda x: -x[1]))
-    often = counts.where(~F.startswith("word", F.lit("~")) & (F.col("clean") > 0))
-    clean = [r["word"] for r in often.orderBy(F.desc("clean"), "word").limit(MAX_WORDS // 2).select("word").collect()]
-    clean += [r["word"] for r in often.orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS // 2).select("word").collect()]
+    often = counts.where(whole & (F.col("clean") > 0)).select("word", F.col("clean").alias("value"))
+    clean = [*top(often, "often", max_words // 2), *top(often.select("word", F.xxhash64("word").alias("value")), "any", max_words // 2)]
     if not words:
         return None
     hard: list[str] = []
-    for _ in range(HARD_ROUNDS):  # clean words that the machine takes for toxic are trained on with more weight
+    for i in range(hard_rounds):  # clean words that the machine takes for toxic are trained on with more weight
         weights, bias = fit_words(words, hard, clean)
-        worst = often.select("word", decision(weights, bias)("word")[0].alias("f")).where("f > -0.5").orderBy(F.desc("f"), "word").limit(HARD_WORDS)
-        hard = list(dict.fromkeys([*(r["word"] for r in worst.collect() if r["word"] not in words), *hard]))
+        worst = often.select("word", decision(weights, bias)("word")[0].alias("value")).where("value > -0.5")
+        hard = list(dict.fromkeys([*(w for w in top(worst, f"hard{i}", hard_words) if w not in words), *hard]))
     weights, bias = fit_words(words, hard, clean)
-    counts.unpersist()
     found = texts.select(decision(weights, bias)("text").alias("f"), "toxic")
     found = found.select(*evidence(F.col("f")), "toxic").toPandas().to_numpy(dtype=float)  # 2 * max_docs rows
+    scratch.clear()
     return weights, bias, *_fit_curve(found[:, :-1], found[:, -1])
 
 
