@@ -689,3 +689,9 @@ def price_history_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = history.replay(rows.where("ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").drop("ts"), latest=latest)
     both = first.withColumn("batch", F.lit(1)).unionByName(second.withColumn("batch", F.lit(2)))
     return history.newest(both).select("listing_id", "at_ms", "price", "previous_price", "price_change")
+
+
+@query(SQL["similarity_match"])
+def similarity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IDN-9: the same search under the name it was first registered by."""
+    return similarity_match(spark, sf_dir)
