@@ -14,6 +14,7 @@ from .html_extract import default_field, extract_text
 from .mixing import DEFAULT_WEIGHT, MAX_EPOCHS, WEIGHTS, mix
 from .mixing import SEED as MIX_SEED
 from .packing import pack
+from .phrases import phrases
 from .quality import quality
 from .scratch import Scratch
 from .sharding import BITS, LIMIT, shard
@@ -165,3 +166,38 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"), default_field())
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+SQL["op11_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3)) AS sizes(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cut AS (
+  SELECT lang, k, phrase, f AS a, cut, string_split(phrase, ' ') AS w
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND f >= 10)),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')),
+candidate AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase
+    FROM candidate WHERE k = 3) GROUP BY lang, phrase)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank
+  FROM candidate c LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a) JOIN total USING (lang)
+WHERE rank <= 2000
+"""
