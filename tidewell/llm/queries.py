@@ -6,9 +6,12 @@ import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
+from . import byte_bpe
 from .chat import conversation_digests, windows
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .html_extract import default_field, extract_text
 from .mixing import DEFAULT_WEIGHT, MAX_EPOCHS, WEIGHTS, mix
@@ -201,3 +204,44 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
   FROM candidate c LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a) JOIN total USING (lang)
 WHERE rank <= 2000
 """
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+SQL["op12_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+holds AS (SELECT lang, unnest(list_distinct(terms)) AS term FROM d),
+kept AS (SELECT lang, term FROM holds GROUP BY lang, term HAVING count(*) >= 10),
+uses AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+alluses AS (SELECT lang, term, sum(n) AS n FROM uses GROUP BY ALL),
+langs AS (SELECT lang, coalesce(v, 0) AS v, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS total FROM alluses GROUP BY lang) USING (lang)),
+groups AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM uses GROUP BY ALL) USING (lang, source)),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 2)) // (g.total + 2 * l.v) AS p, 1 + (1000000000::HUGEINT * (a.n + 2)) // (l.total + 2 * l.v) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) JOIN alluses a USING (lang, term) LEFT JOIN uses u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT a.lang, a.source, b.source, 0 FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source JOIN langs l ON l.lang = a.lang WHERE v = 0),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM dense WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT *, 'term', row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encode(F.col("text")).alias("ids"))
+    ids, digest = F.col("ids"), lambda c: F.sha2(c, 256)
+    return documents.select(
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), digest(byte_bpe.packed(ids)).alias("ids_sha256"), digest(byte_bpe.decode(ids)).alias("decoded_sha256")
+    )
