@@ -38,9 +38,9 @@ LEAST = 10  # occurrences of a phrase
 LONGEST = 3  # words of a phrase
 COVERED = 50  # per cent of a phrase's occurrences inside a longer one that drop it
 TOP = 2000  # phrases of a language
-BITS = 26  # buckets, as a power of two: 8 MB a bitmap, 64 MB of counters in a task
-BUFFER = 1 << 20
-FLUSH = 500_000  # phrases that a task holds before it hands them on
+BITS = 24  # buckets, as a power of two: 2 MB a bitmap, 16 MB of counters in a task
+BUFFER = 1 << 18
+FLUSH = 200_000  # phrases that a task holds before it hands them on
 BLANKS, ENDS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"  # between words, between pieces
 PARTS = "lang string, phrase string, bucket bigint, n bigint"
 
