@@ -1,0 +1,64 @@
+"""Near names against all pairs."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell.operators.names import classes, near_names, near_rows
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited(rng: random.Random, name: str, alphabet: str) -> str:
+    for _ in range(rng.randint(0, 3)):
+        at = rng.randint(0, len(name))
+        name = name[:at] + rng.choice(["", rng.choice(alphabet)]) + name[at + rng.randint(0, 1) :]
+    return name
+
+
+def some_names() -> list[str]:
+    rng = random.Random(7)
+    found = ["", "a", "b", "ab", "ba", "abc", "한국", "한국어", "aaaaaaaaaa", "aaaaaaaaa", "aabaabaabaab", "abaabaabaabaa"]
+    for alphabet, longest in (("ab", 14), ("abcdefgh ", 20), ("RTX 5080가나", 12)):
+        seeds = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, longest))) for _ in range(25)]
+        found += [edited(rng, rng.choice(seeds), alphabet) for _ in range(120)]
+    return found
+
+
+@pytest.mark.parametrize(("most", "q"), [(1, 2), (2, 2), (2, 3)])
+def test_near_names_equal_all_pairs(spark, most, q):
+    names = some_names()
+    queries = names[::3] + ["never seen", "RTX 5080", "x"]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in [*xs, None]], "name string")
+    got = {(r.query, r.name): r.distance for r in near_names(frame(names + names[:20]), frame(queries), most, q).collect()}
+    want = {(a, b): d for a in set(queries) for b in set(names) if a != b and (d := distance(a, b)) <= most}
+    assert got == want and len(want) > 200
+
+
+def test_names_that_all_share_a_long_part(spark):
+    rows = spark.range(3000).select("id", F.format_string("Customer#%09d", "id").alias("name"))
+    got = {(r["query"], r.name) for r in near_names(rows, rows.where("id % 500 = 0")).collect()}
+    names = [f"Customer#{i:09d}" for i in range(3000)]
+    assert got == {(a, b) for a in names[::500] for b in names if a != b and distance(a[9:], b[9:]) <= 2}
+
+
+def test_no_join_of_all_pairs(spark):
+    rows = spark.createDataFrame([(1, "a")], "id int, name string")
+    plan = near_names(rows, rows)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_and_their_classes(spark):
+    rows = spark.createDataFrame([(3, "card one"), (1, "card one"), (2, "card on"), (4, None), (5, "else")], "id int, name string")
+    assert {tuple(r) for r in classes(rows, "id", "name").collect()} == {("card one", 1, 2), ("card on", 2, 1), ("else", 5, 1)}
+    got = near_rows(rows, rows.where("id = 2"), "id", "name").collect()
+    assert [(r["query"], r.name, r.distance, r.query_key, r.name_key, r.query_rows, r.name_rows) for r in got] == [("card on", "card one", 1, 2, 1, 1, 2)]
+    assert near_rows(rows.limit(0), rows, "id", "name").isEmpty()

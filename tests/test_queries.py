@@ -10,7 +10,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewell.plans.conformance import QUERIES, SQL
+from tidewell.plans import conformance, further  # noqa: F401  they register their queries
+from tidewell.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
 from ..functions import gpu, text
 from ..operators import analytics, catalog, history, joblog, matching, refdata, upsert
-from ..session import ship
 from . import listing
 from .ingest import LATEST, LISTINGS, PRODUCTS
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+from .registry import SQL, query, table
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
