@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import joblog, refdata, upsert
 from tidewell.plans import ingest, listing
-from tidewell.sources.snapshots import Store
+from tidewell.sources.tables import Store
 from tidewell.streaming.ingest import ingest as ingest_stream
 from tidewell.streaming.ingest import listing_stream
 
@@ -55,7 +55,7 @@ def run(spark, store, masters, i):
 
 @pytest.fixture(scope="module")
 def clean(spark, masters, tmp_path_factory):
-    store = Store(spark, str(tmp_path_factory.mktemp("clean")))
+    store = Store(spark, str(tmp_path_factory.mktemp("clean")), parts=2)
     for i in range(3):
         run(spark, store, masters, i)
     return store
@@ -79,14 +79,14 @@ def test_tables_of_a_clean_run(spark, clean):
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, masters, clean, tmp_path):
-    store = Store(spark, str(tmp_path))
+    store = Store(spark, str(tmp_path), parts=2)
     for i in (0, 1, 1, 0, 2, 2):
         assert run(spark, store, masters, i).count() == len(BATCHES[i])
     assert tables(store) == tables(clean)
 
 
 def test_a_batch_that_failed_half_way_runs_again(spark, masters, clean, tmp_path, monkeypatch):
-    store = Store(spark, str(tmp_path))
+    store = Store(spark, str(tmp_path), parts=2)
     run(spark, store, masters, 0)
     before = tables(store)
 
@@ -101,23 +101,73 @@ def test_a_batch_that_failed_half_way_runs_again(spark, masters, clean, tmp_path
     for i in (1, 2):
         run(spark, store, masters, i)
     assert tables(store) == tables(clean)
-    assert store.vacuum(keep=1) > 10 and tables(store) == tables(clean)
 
 
-def test_batches_commit_in_order(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    store.commit(2, {"t": spark.range(2)})
+def files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def job(spark, n):
+    return spark.createDataFrame([(f"job{n}",)], "job_id string")
+
+
+def put(spark, store, rows, batch):
+    new = spark.createDataFrame(rows, "k string, v int")
+    store.update("t", "k string, v int", "k", new, batch, lambda now: upsert.merge(now, new, ["k"]))
+
+
+def test_a_batch_writes_the_parts_that_it_touches(spark, tmp_path):
+    store = Store(spark, str(tmp_path), parts=8)
+    keys = [f"k{i}" for i in range(100)]
+    put(spark, store, [(k, 1) for k in keys], 1)
+    store.complete(job(spark, 1), 1)
+    before = files(tmp_path / "t")
+    put(spark, store, [("k7", 2), ("k7", 2)][:1], 2)
+    store.complete(job(spark, 2), 2)
+    after = files(tmp_path / "t")
+    assert before.items() <= after.items() and len({f.split("/")[0] for f in after.keys() - before.keys()}) == 1
+    assert {r.k: r.v for r in store.read("t", "").collect()} == {k: 2 if k == "k7" else 1 for k in keys}
+    assert {r.v for r in store.read("t", "", before=2).collect()} == {1}
+
+
+def test_nothing_of_a_batch_is_seen_before_it_is_complete(spark, tmp_path):
+    store = Store(spark, str(tmp_path), parts=2)
+    put(spark, store, [("a", 1)], 1)
+    store.append("log", spark.range(3), 1)
+    assert (store.last(), store.committed(1), store.read("t", "").count(), store.read_all("log", "").count()) == (0, False, 0, 0)
+    store.complete(job(spark, 1), 1)
+    put(spark, store, [("a", 2), ("b", 2)], 2)  # fails before its end
+    store.append("log", spark.range(5), 2)
+    assert (store.last(), store.read("t", "").collect(), store.read_all("log", "").count()) == (1, [("a", 1)], 3)
+    put(spark, store, [("a", 3), ("b", 3)], 2)  # and runs again
+    store.append("log", spark.range(4), 2)
+    store.complete(job(spark, 2), 2)
+    assert {tuple(r) for r in store.read("t", "").collect()} == {("a", 3), ("b", 3)} and store.read_all("log", "").where("batch = 2").count() == 4
+    with pytest.raises(ValueError):
+        store.complete(job(spark, 1), 1)
+    assert store.read("none", "id bigint").columns == ["id"] and store.read_all("none", "id bigint").columns == ["id", "batch"]
+
+
+def test_old_versions_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path), parts=1)
+    for n in range(1, 5):
+        put(spark, store, [("a", n)], n)
+        store.complete(job(spark, n), n, ["t"])
+    assert {f.split("/")[1] for f in files(tmp_path / "t")} == {"batch=3", "batch=4"}
+    assert store.read("t", "").collect() == [("a", 4)]
+
+
+def test_batches_run_in_order(spark, masters, clean, tmp_path):
+    store = Store(spark, str(tmp_path), parts=2)
+    run(spark, store, masters, 2)
     with pytest.raises(ValueError):
-        store.commit(1, {"t": spark.range(1)})
-    store.commit(3, {"t": spark.range(3)}, {"log": spark.range(1)})
-    assert (store.read("t", "id bigint").count(), store.read("t", "id bigint", before=3).count(), store.read("t", "id bigint", before=2).count()) == (3, 2, 0)
-    assert [r.batch for r in store.read_all("log", "id bigint").collect()] == [3] and store.read_all("log", "id bigint", before=3).columns == ["id", "batch"]
+        run(spark, store, masters, 0)
 
 
 def test_fail_stores_what_came_before_the_first_bad_row(spark, masters, tmp_path):
     rows = [item(1), item(2, "2", seller=None), item(3, "3")]
     for policy, want in (("isolate", {"SSG_1", "SSG_3"}), ("fail", {"SSG_1"})):
-        store = Store(spark, f"{tmp_path}/{policy}")
+        store = Store(spark, f"{tmp_path}/{policy}", parts=2)
         got = ingest.run_batch(store, raw(spark, rows), masters, 1, "j", "SSG", as_of(), on_persist_error=policy)
         assert [r.persist_error.field for r in got.where("persist_error IS NOT NULL").collect()] == ["seller_id"]
         assert {r.listing_id for r in store.read("listings", "").collect()} == want
@@ -126,7 +176,7 @@ def test_fail_stores_what_came_before_the_first_bad_row(spark, masters, tmp_path
 def test_stream_stopped_between_store_and_checkpoint(spark, masters, tmp_path):
     source, check = tmp_path / "in", tmp_path / "check"
     source.mkdir()
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), parts=2)
 
     def feed(n):
         rows = [dict(item(r["seq"]), **r) for r in BATCHES[n]]
@@ -143,7 +193,7 @@ def test_stream_stopped_between_store_and_checkpoint(spark, masters, tmp_path):
     for name in ("1", ".1.crc"):
         os.remove(check / "commits" / name)
     go()
-    assert tables(store) == before and len(store.commits()) == 2 * 9
+    assert tables(store) == before and store.last() == 2
     shutil.rmtree(check)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import history, joblog, refdata, upsert
-from ..sources.snapshots import Store
+from ..sources.tables import Store
 from . import listing
 
 PRODUCTS = (
@@ -30,12 +30,13 @@ CRAWL_LOGS = "log_id string, job_id string, mall_id string, at bigint, level str
 
 def run_batch(store: Store, raw: DataFrame, masters: dict[str, DataFrame], batch: int, job_id: str, mall_id: str, as_of: Column,
               keyword: str | None = None, on_persist_error: str = "isolate") -> DataFrame:
-    """Process, resolve and upsert a batch in one commit; returns the processed rows with `persist_error`.
+    """Process, resolve and upsert a batch; returns the processed rows with `persist_error`.
 
-    It reads what batches before `batch` committed, so running it again after a
-    failure gives the same tables; if `batch` is committed, nothing is written.
-    Products, listings, malls, sellers and the latest price of each listing are
-    replaced; price history and logs gain a folder.
+    It reads what batches before `batch` completed, so running it again after a
+    failure gives the same tables; if `batch` is complete, nothing is written.
+    Of products, listings, malls, sellers and latest prices the parts that the
+    batch touches are written; processed rows, price history and logs gain a
+    partition.  The job's row is written last and makes all of it visible.
 
     on_persist_error: 'isolate' leaves a row that cannot be stored out; 'fail'
     stores only what arrived before the first such row.
@@ -46,34 +47,31 @@ def run_batch(store: Store, raw: DataFrame, masters: dict[str, DataFrame], batch
     processed = processed.withColumn("named", F.expr("error IS NULL AND persist_error IS NULL")).withColumn("persist_error", unresolved).drop("resolve_error")
     if store.committed(batch):
         return processed.drop("named")
-    processed = store.stage(processed, batch, "processed")  # read five times below
+    if batch <= store.last():
+        raise ValueError(f"batch {batch} is not after batch {store.last()}")
+    processed = store.append("processed", processed, batch)  # read several times below
     checked = processed.where("named")  # these name their mall, resolved or not
     valid = processed.where("error IS NULL AND persist_error IS NULL")
     if on_persist_error == "fail":
         first = processed.where("persist_error IS NOT NULL").agg(F.min("seq")).first()[0]
         valid = valid if first is None else valid.where(F.col("seq") < first)
 
-    latest = store.read("latest_prices", LATEST, batch)
-    appended = history.replay(
-        valid.select(F.concat_ws("_", "mall_id", "product_id").alias("listing_id"), "seq", F.unix_millis("crawled_at").alias("at_ms"), "price"), latest=latest
-    )
-    appended = store.stage(appended, batch, "appended")
-    store.commit(
-        batch,
-        {
-            "products": upsert.upsert_products(store.read("products", PRODUCTS, batch), valid, as_of),
-            "listings": upsert.upsert_listings(store.read("listings", LISTINGS, batch), valid, as_of),
-            "latest_prices": history.merge_latest(latest, appended),
-            "malls": refdata.insert_absent(store.read("malls", MALLS, batch), refdata.malls(checked), "code"),
-            "sellers": refdata.insert_absent(store.read("sellers", SELLERS, batch), refdata.sellers(valid), "slug"),
-        },
-        {
-            "price_history": appended,
-            "crawl_jobs": joblog.finished_job(processed, job_id, mall_id, keyword, as_of),
-            "crawl_logs": joblog.crawl_logs(processed, job_id, mall_id, keyword, as_of),
-            "validation_logs": joblog.validation_logs(processed, "pipeline", as_of),
-        },
+    listings = valid.withColumn("listing_id", F.concat_ws("_", "mall_id", "product_id"))
+    prices = listings.select("listing_id", "seq", F.unix_millis("crawled_at").alias("at_ms"), "price")
+    appended = store.append("price_history", history.replay(prices, latest=store.read("latest_prices", LATEST, batch)), batch)
+    malls, sellers = refdata.malls(checked), refdata.sellers(valid)
+    changes = (
+        ("latest_prices", LATEST, "listing_id", appended, lambda now: history.merge_latest(now, appended)),
+        ("products", PRODUCTS, "canonical_product_id", valid, lambda now: upsert.upsert_products(now, valid, as_of)),
+        ("listings", LISTINGS, "listing_id", listings, lambda now: upsert.upsert_listings(now, valid, as_of)),
+        ("malls", MALLS, "code", malls, lambda now: refdata.insert_absent(now, malls, "code")),
+        ("sellers", SELLERS, "slug", sellers, lambda now: refdata.insert_absent(now, sellers, "slug")),
     )
+    for name, schema, key, keys, change in changes:
+        store.update(name, schema, key, keys, batch, change)
+    store.append("crawl_logs", joblog.crawl_logs(processed, job_id, mall_id, keyword, as_of), batch)
+    store.append("validation_logs", joblog.validation_logs(processed, "pipeline", as_of), batch)
+    store.complete(joblog.finished_job(processed, job_id, mall_id, keyword, as_of), batch, [c[0] for c in changes])
     return processed.drop("named")
 
 

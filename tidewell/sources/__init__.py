@@ -1 +1 @@
-"""Sources and sinks: pages, HTTP search, files, snapshots."""
+"""Sources and sinks: pages, HTTP search, files, tables of batches."""

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import run_batch
 from ..sources.files import JSON_RAW
-from ..sources.snapshots import Store
+from ..sources.tables import Store
 
 
 def listing_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
