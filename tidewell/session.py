@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = "1000"  # whole documents: a batch is held by the JVM and by the Python worker at once
@@ -36,3 +36,15 @@ def for_documents(spark: SparkSession) -> SparkSession:
     if spark.conf.get(BATCH, None) in (None, "10000"):  # Spark's own choice
         spark.conf.set(BATCH, BATCH_ROWS)
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, in the folder that spark.checkpoint.dir names; only a local session may leave it unset."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewell-"))
+    return df.checkpoint()
