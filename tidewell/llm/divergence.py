@@ -26,21 +26,24 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # terms are the matches of its complement; regexp_extract_all copies the text for each match
 LEAST = 10  # documents of a term
 TOP = 10  # terms reported of a group
 SLICES = 1024
+_MARK = "\x01"  # in no term
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n occurrences, docs rows that hold it), one pass over the texts."""
-    text = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
-    rows = docs.select(_named("lang"), _named("source"), F.regexp_extract_all(text, F.lit(TERM), 0).alias("terms"))
-    uses = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
-    holds = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
-    rows = rows.select("lang", "source", F.explode(F.concat(uses, holds)).alias("t"))
-    return rows.groupBy("lang", "source", "t.term").agg(F.sum("t.n").alias("n"), F.sum("t.docs").alias("docs"))
+    text = F.coalesce("text", F.lit(""))
+    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    rows = docs.select(_named("lang"), _named("source"), F.array_remove(F.split(lowered, BETWEEN), "").alias("terms"))
+    # a row for each use, and one with a mark before the term for each document that holds it
+    marked = F.transform(F.array_distinct("terms"), lambda t: F.concat(F.lit(_MARK), t))
+    rows = rows.select("lang", "source", F.explode(F.concat("terms", marked)).alias("t")).withColumn("mark", F.startswith("t", F.lit(_MARK)))
+    rows = rows.select("lang", "source", F.when(F.col("mark"), F.substr("t", F.lit(2))).otherwise(F.col("t")).alias("term"), F.col("mark").cast("int").alias("docs"))
+    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("docs")).alias("n"), F.sum("docs").alias("docs"))
 
 
 def _named(c: str) -> Column:
