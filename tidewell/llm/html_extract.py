@@ -13,14 +13,16 @@ the layouts below.  Its weights, a few thousand numbers, travel to the tasks;
 a page is read and decoded where it lies.
 
 A page is read once from left to right, in time in proportion to its length,
-whatever it holds.
+whatever it holds: a block points to its element, an element to the one around
+it, and the score of an element's marks is reckoned once.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed
 and stray tags, a '>' inside a quoted attribute, and tags inside scripts are
-read as browsers do as far as text goes, but an element without its end tag
-(an open script, select or video) hides nothing; comments and tags that the
-page's end cuts off are no text; repeated rows give the same text; an empty
-table gives an empty result.
+read as browsers do as far as text goes; a script, style or other element of
+plain text without its end tag hides the rest of the page, as in browsers, but
+one that holds markup (an open select or video) hides nothing; comments and
+tags that the page's end cuts off are no text; repeated rows give the same text;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,7 +69,25 @@ _WORD = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 _ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 
-Block = tuple[tuple[str, ...], str, int]  # ancestor marks, each once, and the own tag; text; characters inside links
+
+class Path:
+    """An open element: its tag, the marks that it adds to those of the elements around it, and the one around it."""
+
+    __slots__ = ("above", "marks", "tag", "within")
+
+    def __init__(self, above: Path | None, tag: str, marks: tuple[str, ...]):
+        self.above, self.tag, self.marks = above, tag, marks
+        self.within: bool = (above is not None and above.within) or "article" in marks or "main" in marks
+
+    def all_marks(self) -> list[str]:
+        found, path = [], self
+        while path is not None:
+            found[:0] = path.marks
+            path = path.above
+        return found
+
+
+Block = tuple[Path | None, str, int]  # the element around a text; the text; characters inside links
 
 
 def plain(text: str) -> str:
@@ -115,17 +135,17 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             return
         if tag in RAW and not closing and not (rest[1].endswith("/") and tag not in TEXT_RAW):
             end = after(RAW[tag], at)
-            if end >= 0:  # one that is never closed hides nothing
-                at = _REST.match(page, end + 2 + len(tag)).end()
-                yield start, at, "", False, ""
-                continue
+            at = _REST.match(page, end + 2 + len(tag)).end() if end >= 0 else size  # what is never closed goes on to the end
+            yield start, at, "", False, ""
+            continue
         yield start, at, tag, closing, rest[1]
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # block elements: tag, the marks down to it, whether unseen
+    stack: list[tuple[str, Path, bool]] = []  # block elements: tag, path, whether unseen
     opened: Counter[str] = Counter()  # tags of the stack
+    marked: set[str] = set()  # marks of the stack
     deep: list[str] = []  # elements below DEPTH, as tags alone
     hidden = 0  # unseen elements of the stack
     last_end: dict[str, int] = {}
@@ -141,7 +161,7 @@ def leaf_blocks(page: str) -> list[Block]:
         text = plain("".join(parts)) if parts else ""
         parts.clear()
         if text:
-            blocks.append(((*stack[-1][1], stack[-1][0]) if stack else (), text, linked))
+            blocks.append((stack[-1][1] if stack else None, text, linked))
         linked = 0
 
     def pop_to(names: set[str], barrier: set[str]) -> None:
@@ -151,9 +171,10 @@ def leaf_blocks(page: str) -> list[Block]:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 end()
-                for tag, _, unseen in stack[i:]:
+                for tag, path, unseen in stack[i:]:
                     opened[tag] -= 1
                     hidden -= unseen
+                    marked.difference_update(path.marks)
                 del stack[i:]
                 deep.clear()
                 return
@@ -212,9 +233,10 @@ def leaf_blocks(page: str) -> list[Block]:
                 deep = [*deep[-DEPTH:], tag]
                 continue
             names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(attributes)).lower()
-            above = stack[-1][1] if stack else ()
             own = dict.fromkeys([tag, *("." + w for w in _WORD.findall(names)[:NAMES])])
-            stack.append((tag, (*above, *(m for m in own if m not in above)), unseen))
+            new = tuple(m for m in own if m not in marked)
+            marked.update(new)
+            stack.append((tag, Path(stack[-1][1] if stack else None, tag, new), unseen))
             opened[tag] += 1
             hidden += unseen
     if at < len(page) and not hidden:
@@ -223,18 +245,16 @@ def leaf_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def path_features(marks: tuple[str, ...]) -> list[str]:
+def path_features(path: Path | None) -> list[str]:
     """Of the ancestors alone."""
-    found = ["in:" + m for m in marks[:-1]]
-    if marks:
-        found.append("own:" + marks[-1])
-    if "article" not in marks and "main" not in marks:
+    found = ["in:" + m for m in path.all_marks()] + ["own:" + path.tag] if path else []
+    if path is None or not path.within:
         found.append("outside")
     return found
 
 
 def text_features(block: Block, before: Block | None) -> list[str]:
-    marks, text, linked = block
+    path, text, linked = block
     words = text.count(" ") + 1
     found = [f"words:{min(words.bit_length(), 7)}", f"links:{min(4, 4 * linked // len(text))}"]
     if text[-1] in ".!?:;\"'”»…":
@@ -247,7 +267,7 @@ def text_features(block: Block, before: Block | None) -> list[str]:
         found.append("bars")
     if before is None:
         found.append("first")
-    elif before[0] == marks:
+    elif before[0] is path or (before[0] and path and before[0].above is path.above and (before[0].tag, before[0].marks) == (path.tag, path.marks)):
         found.append("like before")
     return found
 
@@ -265,11 +285,22 @@ class Field:
 
     def scores(self, blocks: list[Block]) -> list[float]:
         get, before, found = self.known.get, None, []
-        of_path: dict[tuple[str, ...], float] = {}
+        of_path: dict[Path | None, float] = {None: 0.0}  # of the marks down to it
+
+        def marks(path: Path | None) -> float:
+            down = []
+            while path not in of_path:
+                down.append(path)
+                path = path.above
+            for p in reversed(down):
+                of_path[p] = of_path[p.above] + sum(get("in:" + m, 0.0) for m in p.marks)
+                path = p
+            return of_path[path]
+
         for b in blocks:
-            if (path := of_path.get(b[0])) is None:
-                path = of_path[b[0]] = sum(get(f, 0.0) for f in path_features(b[0]))
-            found.append(path + sum(get(f, 0.0) for f in text_features(b, before)))
+            own = get("own:" + b[0].tag, 0.0) if b[0] else 0.0
+            outside = 0.0 if b[0] and b[0].within else get("outside", 0.0)
+            found.append(marks(b[0]) + own + outside + sum(get(f, 0.0) for f in text_features(b, before)))
             before = b
         return found
 
@@ -359,7 +390,8 @@ BOILER = {
     "share": ["share", "social", "tags", "meta", "byline", "pagination", "pager"],
 }
 MARK = "\ue000"  # of main text in drawn pages
-MAIN_NAMES = ["", "", "content", "post", "entry", "article", "story", "text", "post-content", "article-body", "main"]
+MAIN_NAMES = ["content", "post", "entry", "article", "story", "text", "post-content", "article-body", "main", "introduction", "chapter", "body"]
+MAIN_HEADS = ["title", "headline", "entry-header", "post-title", "article-header"]
 _SYLLABLES = "an be co de er fi ga ho in ju ka le mo ne or pa qui re su ti un va we ya zu st th ou ing".split()
 
 
@@ -403,8 +435,15 @@ def drawn_page(rng: random.Random) -> list[tuple[str, bool]]:
             body = rng.choice(["{}", "<p>{}</p>", "<span>{}</span>", "{} <a href=#>OK</a>"]).replace("{}", sentence(3, 25))
         return f"<{tag}{attr}>{body}</{tag}>"
 
+    def own_name(known: list[str]) -> str:
+        """A name of the site's own, one that many sites use, or none."""
+        n = rng.choice(["", words(1).lower().strip(".,"), rng.choice(known)])
+        return rng.choice([f' class="{n}"', f' id="{n}"', f' class="{n} {words(1).lower().strip(".,")}"']) if n else ""
+
     def main(title: str) -> list[str]:
         found = [rng.choice([f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<h2>{title}</h2>", ""])]
+        if found[0] and rng.random() < 0.25:
+            found[0] = f"<header{own_name(MAIN_HEADS)}>{found[0]}{rng.choice(['', f'<p>{sentence(3, 20)}</p>'])}</header>"
         for _ in range(rng.randint(1, 14)):
             kind = rng.random()
             text = sentence(1, 90) if rng.random() < 0.8 else sentence(1, 6)
@@ -433,17 +472,21 @@ def drawn_page(rng: random.Random) -> list[tuple[str, bool]]:
     if "nav" not in before and rng.random() < 0.6:
         before.insert(0, "nav")
     pieces += [(boiler(k), False) for k in before]
-    wrap = rng.choice(["article", "article", "article", "main", "div", "div", "section"])
-    attr = f' class="{n}"' if (n := rng.choice(MAIN_NAMES[2 if wrap in ("div", "section") else 0 :])) else ""
-    pieces.append((f"<{wrap}{attr}>", False))
+    wraps = [rng.choice(["article", "article", "article", "main", "div", "div", "section"]), *rng.choices(["div", "div", "section"], k=rng.choice([0, 0, 0, 1, 1, 2]))]
+    rng.shuffle(wraps)
+    pieces += [(f"<{w}{own_name(MAIN_NAMES)}>", False) for w in wraps]
     body = main(title)
+    if rng.random() < 0.2:  # parts of the text in sections
+        cuts = sorted(rng.sample(range(1, len(body) + 1), rng.randint(1, min(3, len(body)))))
+        body = ["".join(body[i:j]) for i, j in zip([0, *cuts], [*cuts, len(body)], strict=True)]
+        body = [f"<section{own_name(MAIN_NAMES)}>{x}</section>" if i else x for i, x in enumerate(body) if x or not i]
     inner = rng.choice(["", "", *BOILER]) if rng.random() < 0.5 else ""
     at = rng.randint(1, len(body))
     pieces += [(x, True) for x in body[:at]]
     if inner and inner != "header":
         pieces.append((boiler(inner), False))
     pieces += [(x, True) for x in body[at:]]
-    pieces.append((f"</{wrap}>", False))
+    pieces.append(("".join(f"</{w}>" for w in reversed(wraps)), False))
     after = rng.sample(["aside", "comments", "form", "ad", "share", "notice", "nav"], rng.randint(0, 3))
     if rng.random() < 0.8:
         after.append("footer")
@@ -456,8 +499,8 @@ def labelled_page(pieces: list[tuple[str, bool]]) -> tuple[str, list[Block], lis
     """The page and its blocks with their labels, told by a mark that is put before main text."""
     marked = "".join(re.sub(r">(?=[^<\s])", ">" + MARK, x) if main else x for x, main in pieces)
     blocks, truth = [], []
-    for marks, text, linked in leaf_blocks(marked):
-        blocks.append((marks, text.replace(MARK, ""), linked))
+    for path, text, linked in leaf_blocks(marked):
+        blocks.append((path, text.replace(MARK, ""), linked))
         truth.append(MARK in text)
     return "".join(x for x, _ in pieces), blocks, truth
 
