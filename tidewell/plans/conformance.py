@@ -397,11 +397,11 @@ def validated_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT round(avg((status IS NULL)::INT), 9) AS validation_success, round(1 - count(DISTINCT 'SSG' || coalesce('_' || CASE WHEN p_partkey % 17 <> 0 THEN p_partkey END, ''))
+SELECT round(avg((status IS NULL)::INT), 9) AS validation_success, round(avg((p_partkey % 13 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 3 <> 0)::INT), 9) AS matching_success, round(1 - count(DISTINCT 'SSG' || coalesce('_' || CASE WHEN p_partkey % 17 <> 0 THEN p_partkey END, ''))
   / count(*), 9) AS duplicate_rate FROM ({_RAW_SQL})""")
 def validation_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = joblog.kpis(listing.process(_raw_parts(spark, sf_dir)))
-    return found.select(F.round("validation_success", 9).alias("validation_success"), F.round("duplicate_rate", 9).alias("duplicate_rate"))
+    return found.select(*[F.round(c, 9).alias(c) for c in ("validation_success", "matching_success", "duplicate_rate")])
 
 
 @query(f"SELECT count(*) AS items, count(status) AS failures, CASE WHEN count(*) > 0 AND count(status) = count(*) THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM ({_RAW_SQL})")

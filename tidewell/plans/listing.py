@@ -101,8 +101,16 @@ def first_failure(rules: list[tuple[Column, Column]]) -> Column:
     return found
 
 
-def validation_error() -> Column:
-    """VAL-1..11."""
+def known_names(df: DataFrame, aliases: DataFrame) -> DataFrame:
+    """STR-10, STR-11: brands and sellers by their main names, from a table of aliases (kind: brand or seller, alias, name)."""
+    for kind in ("brand", "seller"):
+        named = aliases.where((F.col("kind") == kind) & F.col("alias").isNotNull()).groupBy(F.upper(F.trim("alias")).alias("_alias")).agg(F.min("name").alias("_name"))
+        df = df.join(named, F.upper(F.trim(kind)) == F.col("_alias"), "left").withColumn(kind, F.coalesce("_name", kind)).drop("_alias", "_name")
+    return df
+
+
+def validation_error(cards_only: bool = False) -> Column:
+    """VAL-1..11; with cards_only also VAL-15, a name with the keyword that is of something else."""
     names = F.concat_ws(" ", "raw_product_name", "normalized_product_name")
     required = [("product_id",), ("product_name", "raw_product_name"), ("normalized_product_name",), ("mall", "mall_id"), ("product_url",)]
     rules = [(_missing(r[-1]), error("INVALID", r[0], f"{r[0]} is required")) for r in required]
@@ -111,16 +119,17 @@ def validation_error() -> Column:
         (F.col("price") <= 0, error("INVALID", "price", "price must be > 0")),
         (F.col("price") > D.MAX_PRICE, error("INVALID", "price", f"price exceeds maximum ({D.MAX_PRICE})")),
         (_missing("gpu_model") & ~gpu.has_keyword(names), error("FILTERED", "gpu", "GPU keyword not detected")),
+        *([(gpu.not_a_card(names), error("FILTERED", "gpu", "not a graphics card"))] if cards_only else []),
         (_missing("brand") | _missing("gpu_model_id") | F.col("vram_gb").isNull(), error("INVALID", "gpu", "structured GPU information is incomplete")),
         (_missing("canonical_product_id"), error("INVALID", "canonical_product_id", "canonical_product_id generation failed")),
     ]
     return first_failure(rules)
 
 
-def validate(df: DataFrame) -> DataFrame:
+def validate(df: DataFrame, cards_only: bool = False) -> DataFrame:
     # an explosion of one row each: what the chain computed is a column from here on, which no filter on `error` computes again
     df = df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
-    df = df.select(*df.columns, F.explode(F.array(validation_error())).alias("error"))
+    df = df.select(*df.columns, F.explode(F.array(validation_error(cards_only))).alias("error"))
     return df.withColumns({"mall": text.either(F.col("mall"), F.col("mall_id")), "board_partner_id": text.either(F.col("board_partner_id"), F.col("brand"))})
 
 
@@ -142,9 +151,21 @@ def warnings() -> Column:
     return F.array_compact(found)
 
 
-def process(raw: DataFrame, references: bool = True) -> DataFrame:
-    """The whole chain; rows with `error` null are valid."""
-    return raw.transform(clean, references).transform(normalize).transform(parse_gpu).transform(match_product).transform(validate)
+def process(raw: DataFrame, references: bool = True, aliases: DataFrame | None = None, cards_only: bool = False) -> DataFrame:
+    """The whole chain; rows with `error` null are valid.
+
+    What is documented beyond it is asked for: `aliases` gives brands and sellers
+    their main names before ids are made of them, `cards_only` filters laptops,
+    cables and the like, and `described` adds memory types and warnings.
+    """
+    rows = raw.transform(clean, references).transform(normalize)
+    rows = rows if aliases is None else rows.transform(known_names, aliases)
+    return rows.transform(parse_gpu).transform(match_product).transform(validate, cards_only)
+
+
+def described(processed: DataFrame) -> DataFrame:
+    """EXT-11, VAL-14: the memory type that the name tells, and warnings, which reject nothing."""
+    return processed.withColumns({"memory_type": gpu.memory_type(F.col("normalized_product_name")), "warnings": warnings()})
 
 
 def split(processed: DataFrame) -> tuple[DataFrame, DataFrame]:
