@@ -30,7 +30,6 @@ BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # terms are the matches of its comp
 LEAST = 10  # documents of a term
 TOP = 10  # terms reported of a group
 SLICES = 1024
-_MARK = "\x01"  # in no term
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,11 +38,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
     rows = docs.select(_named("lang"), _named("source"), F.array_remove(F.split(lowered, BETWEEN), "").alias("terms"))
-    # a row for each use, and one with a mark before the term for each document that holds it
-    marked = F.transform(F.array_distinct("terms"), lambda t: F.concat(F.lit(_MARK), t))
-    rows = rows.select("lang", "source", F.explode(F.concat("terms", marked)).alias("t")).withColumn("mark", F.startswith("t", F.lit(_MARK)))
-    rows = rows.select("lang", "source", F.when(F.col("mark"), F.substr("t", F.lit(2))).otherwise(F.col("t")).alias("term"), F.col("mark").cast("int").alias("docs"))
-    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("docs")).alias("n"), F.sum("docs").alias("docs"))
+    # a row for each use, and behind those one for each term that the document holds
+    both = F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term")
+    rows = rows.select("lang", "source", F.size("terms").alias("uses"), both)
+    uses = (F.col("at") < F.col("uses")).cast("int")
+    return rows.groupBy("lang", "source", "term").agg(F.sum(uses).alias("n"), F.sum(1 - uses).alias("docs"))
 
 
 def _named(c: str) -> Column:
