@@ -142,20 +142,20 @@ def _long(text: bytes, carried: int, size: int) -> Iterator[tuple[bytes, int]]:
     """Parts of a text, cut where a piece ends; if none does within `size`, behind a word, and the last `carried` words come again."""
     start = seen = done = 0
     while True:
-        piece = max(text.rfind(bytes([x]), start, start + size) for x in ENDS)
-        if len(text) - start <= size:
-            end = len(text)
-        elif piece >= 0:
+        end = len(text)
+        if end - start > size:
+            new = _WORD.search(text, seen)  # at least a word that was not in the part before
+            found = _BETWEEN.search(text, max(start + size, new.end())) if new else None
+            end = found.start() if found else end
+        piece = max(text.rfind(bytes([x]), start, end) for x in ENDS) if end < len(text) else -1
+        if piece >= 0:
             end = piece + 1
-        else:
-            found = _BETWEEN.search(text, max(start + size, seen + 1))
-            end = found.start() if found else len(text)
         yield text[start:end], done
         if end == len(text):
             return
         if piece >= 0:
             start, done = end, 0
-        else:
+        else:  # no piece ends in here, so none ends among the words that come again
             words = [m.start() for m in _WORD.finditer(text, start, end)]
             done = min(carried, len(words))
             start = words[-done] if done else end
