@@ -1,6 +1,7 @@
 """Streams with state: change-only history and windows in event time, against tables and by hand."""
 
 import json
+import os
 import random
 
 import pytest
@@ -21,7 +22,10 @@ def state_store(spark):
 
 
 def feed(folder, n, rows):
-    (folder / f"{n:03d}.json").write_text("\n".join(json.dumps(r) for r in rows))
+    """File n; a stream takes files by their times, which would tie if they were written at once."""
+    path = folder / f"{n:03d}.json"
+    path.write_text("\n".join(json.dumps(r) for r in rows))
+    os.utime(path, (1_790_000_000 + n, 1_790_000_000 + n))
 
 
 def stream(spark, folder, schema):
