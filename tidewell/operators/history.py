@@ -1,11 +1,12 @@
 """Change-only price history.
 
-`change_points` is the fast path for arrivals in time order: one window with
-lag.  `replay` is exact for any order of arrival: a price is compared with that
-of the latest stored time, whatever its own time, and a stored row of the same
-millisecond is replaced.  It is a sequential rule within a listing, so rows are
-parted by listing, sorted by arrival and folded as they stream by; a listing of
-any length needs the memory of its last state alone.
+`change_points` takes arrivals in time order: one window with lag.  `replay` is
+exact for any order of arrival: a price is compared with that of the latest
+stored time, whatever its own time, and a stored row of the same millisecond is
+replaced.  Listings without a late arrival, most of them, go by a window as
+well.  For the others it is a sequential rule: their rows are sorted by arrival
+and folded as they stream by; a listing of any length needs the memory of its
+last state alone.
 """
 
 from __future__ import annotations
@@ -81,8 +82,15 @@ def replay(arrivals: DataFrame, history: DataFrame | None = None, latest: DataFr
         rows = rows.selectExpr("*", "CAST(NULL AS BIGINT) AS stored_at", "CAST(NULL AS BIGINT) AS stored_price")
     else:
         rows = rows.join(latest_stored(history) if latest is None else latest, "listing_id", "left")
-    rows = rows.repartition("listing_id").sortWithinPartitions("listing_id", "seq")
-    appended = rows.mapInArrow(_fold, HISTORY)
+    of_listing, arrival = Window.partitionBy("listing_id"), Window.partitionBy("listing_id").orderBy("seq", "at_ms", "price")
+    rows = rows.withColumn("before", F.coalesce(F.lag("at_ms").over(arrival), "stored_at"))
+    rows = rows.withColumn("late", F.coalesce(F.max(F.col("before") > F.col("at_ms")).over(of_listing), F.lit(False)))
+    previous = F.coalesce(F.lag("price").over(arrival), "stored_price")  # in order, each arrival is the latest one
+    changed = rows.where("NOT late").withColumn("previous_price", previous).where("previous_price IS NULL OR previous_price <> price")
+    changed = changed.select("listing_id", "seq", "at_ms", "price", "previous_price", (F.col("price") - F.col("previous_price")).alias("price_change"))
+    late = rows.where("late").select("listing_id", "seq", "at_ms", "price", "stored_at", "stored_price")
+    late = late.repartition("listing_id").sortWithinPartitions("listing_id", "seq", "at_ms", "price")
+    appended = changed.unionByName(late.mapInArrow(_fold, HISTORY))
     last = F.max_by(F.struct("seq", "price", "previous_price", "price_change"), "seq").alias("r")
     return appended.groupBy("listing_id", "at_ms").agg(last).select("listing_id", "at_ms", F.col("at_ms").cast("string").alias("history_id"), "r.*")
 
