@@ -10,7 +10,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewell.plans import conformance, further  # noqa: F401  they register their queries
+from tidewell.plans import conformance, further, rules  # noqa: F401  they register their queries
 from tidewell.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

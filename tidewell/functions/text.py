@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+import unicodedata
+from functools import cache
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pyarrow as pa
@@ -138,6 +141,18 @@ def price_of_text(c: Column) -> Column:
     return F.when(n > 0, n)
 
 
+@cache
+def _other_digits() -> tuple[str, str]:
+    """All decimal digits of other scripts, and their ASCII ones."""
+    found = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
+
+
+def shown_price(c: Column) -> Column:
+    """SRC-13: the decimal digits of a shown price, of any script, zero included; null without one, or beyond a bigint."""
+    return F.regexp_replace(F.translate(c, *_other_digits()), "[^0-9]", "").try_cast("bigint")
+
+
 def price_of_number(c: Column) -> Column:
     """NUM-1 for numbers: over zero, cut to whole."""
     return F.when(c > 0, c.try_cast("bigint"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import shown_price
+
 UNIT = T.StructType([T.StructField(n, T.StringType()) for n in ("product_id", "product_name", "price_text", "seller", "product_url", "image_url")])
 # The classes of a page's elements and what they hold.
 UNIT_CLASS = "ssgitem_unit"
@@ -86,7 +88,7 @@ def parse_ssg(pages: DataFrame) -> DataFrame:
     """pages (html, crawled_at) -> raw listings; all rows of a page share its time."""
     rows = pages.select("crawled_at", F.posexplode(units("html")).alias("position", "u"))
     # SRC-12: the attribute's number, else its digits
-    price = F.coalesce(F.trim("u.price_text").try_cast("bigint"), F.regexp_replace("u.price_text", "[^0-9]", "").try_cast("bigint"))
+    price = F.coalesce(F.trim("u.price_text").try_cast("bigint"), shown_price(F.col("u.price_text")))
     return rows.select(
         F.lit("SSG").alias("mall"), "position", "u.product_id", "u.product_name", price.alias("price"), "u.seller", "u.product_url", "u.image_url", "crawled_at"
     )
