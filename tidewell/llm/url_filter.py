@@ -34,6 +34,7 @@ RULES = (
     ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"),
 )
 MAX_LABELLED = 20_000
+TURNS = 16  # copies of a host's features
 BLOCK_FROM = 0.5
 PIECE = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -164,7 +165,9 @@ def url_features(url: Column) -> list[Column]:
 def assembled(rows: DataFrame, statistics: DataFrame) -> DataFrame:
     """rows (url, host, path, ...) with the vector `features`."""
     rows = rows.select("*", *url_features(F.col("url")))
-    rows = rows.join(host_features(rows, statistics), "host")
+    hosts = host_features(rows, statistics).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))))
+    rows = rows.withColumn("_turn", F.pmod(F.xxhash64("url", "path", F.spark_partition_id()), F.lit(TURNS)).cast("int"))
+    rows = rows.join(hosts, ["host", "_turn"]).drop("_turn")  # a hot host, or the urls without one, meets its features in so many places
     return VectorAssembler(inputCols=[*HOST_FEATURES, *URL_FEATURES], outputCol="features").transform(rows)
 
 
