@@ -86,6 +86,20 @@ def test_close_fingerprints_in_a_large_bucket(spark, scratch):
     assert roots == {w: min(near) for w in near if w != min(near)}
 
 
+def test_rows_of_the_tables_are_never_broadcast(spark, scratch, tmp_path):
+    plans = {}
+
+    class Seen(type(scratch)):
+        def cut(self, df, name):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().cut(df, name)
+
+    spark.range(2000).selectExpr("xxhash64(id) AS fp").unionAll(spark.range(2000).selectExpr("xxhash64(id) ^ 1 AS fp")).write.parquet(f"{tmp_path}/nodes")
+    found = links(spark.read.parquet(f"{tmp_path}/nodes"), Seen(spark))  # of so few bytes that Spark would broadcast any side
+    assert "Broadcast" not in plans["buckets"] and "SortMergeJoin" in plans["buckets"]
+    assert found.select("a").distinct().count() == 2000
+
+
 def test_chain_of_components(spark, scratch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (200, 201)], "a bigint, b bigint")
     got = {r.node: r.root for r in connected_components(edges, scratch).collect()}

@@ -111,7 +111,8 @@ def links(nodes: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
     dealt = nodes.select("fp", F.posexplode(keys).alias("t", "key"))
     full = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = scratch.cut(dealt.join(full, ["t", "key"]), "buckets")
+    # rows of 31 tables, which Spark takes for as few bytes as the nodes have: left to it, the driver would gather and broadcast them
+    dealt = scratch.cut(dealt.join(full.hint("merge"), ["t", "key"]), "buckets")
 
     small = dealt.where(F.col("n") <= bucket).groupBy("t", "key").agg(F.collect_list("fp").alias("nodes"))
     small = small.select(F.explode(spanning_links("nodes")).alias("e")).select("e.*")
