@@ -2,7 +2,8 @@
 
 Each stage takes the documents that its predecessor kept and returns those it
 keeps, with the same columns; the last returns the packed pieces.  A near copy
-is one of similarity 0.8 in five-word shingles, found without fingerprints;
+is one of similarity 0.8 in five-word shingles: fingerprints of these find
+the first by op1's covering tables, exact prefixes those that are further apart;
 op1's contract of four words and four bits binds its query alone.  A mixture
 may take a document in several epochs, so mixing may return a row repeatedly.
 """

@@ -2,8 +2,11 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from tidewell.llm.near_copies import near_copies
+import tidewell.llm.near_copies as module
+from tidewell.llm.near_copies import near_copies, shingle_set
+from tidewell.llm.simhash_dedup import RADIUS, majority
 
 from .conftest import odd_rows
 
@@ -73,6 +76,39 @@ def test_stage_drops_copies_far_apart_in_bits(spark):
     assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == [1]
 
 
+def bits_of(text):
+    return majority(shingle_set(text.encode()).view(np.uint64)) & (2**64 - 1)
+
+
+def test_stage_goes_by_fingerprints(spark, monkeypatch):
+    """Without prefixes it links what op1's tables find, if the texts are similar."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)] + [edited(rng, base, 1) for _ in range(12)] + [" ".join(f"x{rng.randrange(10**6)}" for _ in range(100)) for _ in range(5)]
+    near = [(bits_of(t) ^ bits_of(texts[0])).bit_count() for t in texts]
+    assert sum(0 < n <= RADIUS for n in near) > 5
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCUMENT)
+    monkeypatch.setattr(module, "prefix", lambda found, common, least: found[:0])
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert 0 in left and left >= set(range(13, 18)) and not left & {i for i, n in enumerate(near) if i and n <= RADIUS}
+
+
+def test_close_fingerprints_of_other_texts_are_no_copies(spark, scratch, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(module, "majority", lambda hashes: 5)  # all texts agree in all bits
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20)]
+    got = near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), scratch).collect()
+    assert len(got) == 20 and all(r.first for r in got)
+
+
+def test_each_fingerprint_names_its_nearest(spark, scratch):
+    base = 0x0123456789ABCDEF
+    words = [base, base, base ^ 1, base ^ 0b11110, base ^ 0xFFFF00, base ^ (0xFF << 40)]
+    pairs = module.close_fingerprints(spark.createDataFrame(list(enumerate(words)), "node bigint, fp bigint"), scratch).collect()
+    found = {(r.a, r.b) for r in pairs}
+    assert (0, 1) in found and len(pairs) == 3 and all(a < b < 4 for a, b in found)
+
+
 def test_odd_rows(spark, odd, nothing, scratch):
     got = near_copies(odd, scratch).collect()
     assert len(got) == len(odd_rows())

@@ -1,18 +1,23 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash, checked and completed by exact Jaccard similarity of word shingles.
 
 A text is the set of the XXH64 of its runs of five words; two texts are linked
 at a Jaccard similarity of at least 0.8, and linked texts chain into components.
-Candidates come from prefixes: under one global order of the shingles, two sets
-of similarity t or more share a shingle among the first n - ceil(t n) + 1 of
-each, n being its size.  So no linked pair is missed, unlike with fingerprints:
-at 0.8 these differ in about ten of 64 bits, and covering a radius r takes
-2^(r+1) - 1 tables.
+The first candidates come from fingerprints, the majority vote of such a set,
+by op1's covering tables: each is held against the nearest that its buckets
+link it to, equal ones against one of them.  A similarity decides, not the bits:
+at 0.8 fingerprints differ in about ten of 64 bits, and covering a radius r
+takes 2^(r+1) - 1 tables, so those beyond the radius are found by prefixes.
+
+Under one global order of the shingles, two sets of similarity t or more share
+a shingle among the first n - ceil(t n) + 1 of each, n being its size.  So no
+linked pair is missed, and what is linked already need not meet again.
 
 The order puts common shingles last; which are common is guessed from some of
 the documents, as any order gives the same links.  A bucket of one shingle is
 first held against its highest member and its middle one: that with the fewest
 shingles before the shared one.  Variants of one text have rare shingles of
 their own there, the text itself has none, so it meets all of its variants.
+These pairs are checked along with the fingerprints', as texts move but once.
 Next come drawn members, turn by turn, as long as a turn lowers the pairs of
 members in different components by an eighth.  Only such members then meet each
 other, and of these only such as the sizes and the places of the shared shingle
@@ -41,7 +46,8 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .scratch import Scratch
-from .simhash_dedup import shingle_hashes
+from .simhash_dedup import links as covering_links
+from .simhash_dedup import majority, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -50,7 +56,7 @@ COMMON = 2  # that many of those hold a common shingle
 MAX_COMMON = 200_000
 PIVOTS = 16  # members that most others of a large group meet in a turn
 PREFIX = T.StructType(
-    [T.StructField("same", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("hist", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    [T.StructField("same", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("hist", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
 )
 
 
@@ -97,8 +103,22 @@ def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return both * least.denominator >= least.numerator * (len(a) + len(b) - both)
 
 
-def _links(rows: DataFrame, extra: DataFrame, scratch: Scratch, shingle: int, least: Fraction) -> DataFrame:
-    """(a, b) that connect exactly the chained rows (rid, n, hist, keys, text); the rids of extra stand aside, as copies of others."""
+def close_fingerprints(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of nodes (node, fp) to compare: one for each node that shares its fingerprint, one for each fingerprint linked to another."""
+    own = Scratch(scratch.spark)
+    fps = own.cut(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+    equal = nodes.join(fps, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits")
+    near = covering_links(fps.select("fp"), own).groupBy("a").agg(F.min(F.struct(bits, "b"))["b"].alias("b"))
+    near = near.join(fps.toDF("a", "head_a"), "a").join(fps.toDF("b", "head_b"), "b")
+    near = near.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    found = scratch.cut(equal.unionAll(near), "close_fingerprints")
+    own.clear()
+    return found
+
+
+def _links(rows: DataFrame, extra: DataFrame, close: DataFrame, scratch: Scratch, shingle: int, least: Fraction) -> DataFrame:
+    """(a, b) that connect exactly the chained rows (rid, n, hist, keys, text), the pairs of close first; the rids of extra stand aside, as copies of others."""
     num, den = least.numerator, least.denominator
 
     @F.arrow_udf(T.BooleanType())
@@ -137,7 +157,8 @@ def _links(rows: DataFrame, extra: DataFrame, scratch: Scratch, shingle: int, le
     buckets = scratch.cut(dealt.join(extra, "rid", "left_anti"), "buckets")  # few keys are left, so copies go here
     ends = buckets.groupBy("key").agg(F.min(F.struct("at", "rid"))["rid"].alias("middle"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("members"))
     ended = buckets.select("key", "rid").join(ends.where("members > 1").hint("merge"), "key")
-    links = check(ended.select("rid", F.explode(F.array("middle", "hi")).alias("end")).select(F.least("rid", "end").alias("a"), F.greatest("rid", "end").alias("b")), "first_links")
+    ended = ended.select("rid", F.explode(F.array("middle", "hi")).alias("end")).select(F.least("rid", "end").alias("a"), F.greatest("rid", "end").alias("b"))
+    links = check(close.unionAll(ended), "first_links")
 
     def mixed(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """The members of the buckets that hold several components, each with its root."""
@@ -201,8 +222,8 @@ def near_copies(docs: DataFrame, scratch: Scratch, carry: Iterable[str] = ("doc_
         out = []
         for x in texts:
             found = shingle_set(x.as_py(), shingle)
-            out.append({"same": xxhash.xxh3_128_digest(found.tobytes()), "n": len(found), "hist": histogram(found), "keys": prefix(found, common, least)})
-        kind = pa.struct([("same", pa.binary()), ("n", pa.int32()), ("hist", pa.binary()), ("keys", pa.list_(pa.int64()))])
+            out.append({"same": xxhash.xxh3_128_digest(found.tobytes()), "n": len(found), "fp": majority(found.view(np.uint64)), "hist": histogram(found), "keys": prefix(found, common, least)})
+        kind = pa.struct([("same", pa.binary()), ("n", pa.int32()), ("fp", pa.int64()), ("hist", pa.binary()), ("keys", pa.list_(pa.int64()))])
         return pa.array(out, kind, size=len(texts))
 
     own = [] if "text" in carry else [F.col("text")]  # once is enough
@@ -210,12 +231,13 @@ def near_copies(docs: DataFrame, scratch: Scratch, carry: Iterable[str] = ("doc_
     rows = scratch.cut(rows.select("row", "id", *["text" for _ in own], "p.*").withColumn("rid", F.monotonically_increasing_id()), "prefixes")
 
     lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("lowest")
-    nodes = rows.groupBy("same").agg(lowest, F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies"))
+    nodes = rows.groupBy("same").agg(lowest, F.min("rid").alias("node"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("copies"))
     nodes = scratch.cut(nodes, "nodes")
     extra = rows.select("same", "rid").join(nodes.where("copies > 1").select("same", "node"), "same").where("rid <> node")
     extra = scratch.cut(extra.select("rid"), "extra")
     kept_text = F.coalesce(F.col("text") if own else F.col("row")["text"], F.lit("")).cast("binary")
-    links = _links(rows.select("rid", "n", "hist", "keys", kept_text.alias("text")), extra, scratch, shingle, least)
+    close = close_fingerprints(nodes.select("node", "fp"), scratch)
+    links = _links(rows.select("rid", "n", "hist", "keys", kept_text.alias("text")), extra, close, scratch, shingle, least)
     roots = connected_components(links, scratch)
     rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"), "lowest", "copies")
     heads = rooted.groupBy("root").agg(F.min("lowest").alias("lowest"), F.sum("copies").alias("members")).where("members > 1")

@@ -67,9 +67,8 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
     return [digest(joined[i:j], SEED) for i, j in zip(first, last, strict=True)]
 
 
-def fingerprint(text: bytes) -> int:
-    """The majority vote as a signed long."""
-    hashes = np.array(shingle_hashes(text), np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed long."""
     if not len(hashes):
         return 0
     votes = np.zeros((8, 8), np.int64)
@@ -81,6 +80,10 @@ def fingerprint(text: bytes) -> int:
     return _signed(sum(1 << int(8 * byte + bit) for bit, byte in np.argwhere(bits)))
 
 
+def fingerprint(text: bytes) -> int:
+    return majority(np.array(shingle_hashes(text), np.uint64))
+
+
 @F.arrow_udf(T.LongType())
 def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
