@@ -108,6 +108,19 @@ def _maps(spark, docs, scratch):
     return [spark.sparkContext.broadcast(p.bitmap(x, 22)) for x in (frequent, parts.where("phrase IS NULL").select("bucket"))]
 
 
+def test_bucket_counts_go_in_one_row_for_each_range(spark, scratch):
+    """However many pairs a task meets; and the buckets follow the size of the texts."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(" ".join(f"w{rng.randint(0, 300)}" for _ in range(3000)) + " hot pair" * 12, "en") for _ in range(20)], "text string, lang string").repartition(2)
+    packed = scratch.cut(docs.mapInArrow(p._packed(1, 3, 22, [None, None], 200_000, 10), p.PACKED), "packed").where("phrase IS NULL")
+    each = docs.mapInArrow(p._pass(1, 3, 22, [None, None], 200_000), p.PARTS).where("phrase IS NULL").groupBy("bucket").agg(F.sum("n").alias("n"))
+    assert packed.count() <= 2 * 2 ** (22 - p.RANGE) and each.count() > 20_000
+    hot = each.where("n >= 10").select("bucket")
+    assert p.hot_buckets(packed, 22, 10) == p.bitmap(hot, 22) and not hot.isEmpty()
+    sizes = [p.buckets_for(spark.range(n).select(F.lit("x" * 2**20).alias("text"))) for n in (0, 1, 2048, 8192, 40_000)]
+    assert sizes == [p.BITS, p.BITS, 27, p.MOST_BITS, p.MOST_BITS]
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     big = 3 * 10**12
     counts = [spark.createDataFrame([("en", "a", big), ("en", "b", big + 7)], "lang string, phrase string, n bigint"), spark.createDataFrame([("en", "a b", big - 11)], "lang string, phrase string, n bigint")]

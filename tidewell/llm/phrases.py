@@ -7,11 +7,14 @@ only those phrases whose bucket reached the least count and whose parts of
 n - 1 words are frequent themselves.  Both facts reach the tasks as bitmaps of
 2**bits bits, however large the corpus: a set bit may be wrong (two phrases
 share it), which costs a count and no more; a clear bit never is.  What is kept
-is decided by exact counts of whole phrases.
+is decided by exact counts of whole phrases.  The number of buckets follows the
+size of the texts, as buckets that many rare phrases share prune nothing.
 
 Each task reads its texts as byte buffers of one language, finds the words by
 array operations and counts phrases as Arrow values; what it holds is bounded
-by FLUSH rows and 2**bits small counters, and Spark adds up the rest.
+by FLUSH rows and the buckets of PACK phrases.  Bucket counts are handed on
+packed, one row for each range of buckets, and added up as arrays, range by
+range; Spark adds up the phrases.
 
 Defined results: a null text is empty, a null language is ``und``; repeated rows
 count each; an empty table gives no phrases; texts and words of any length are
@@ -38,11 +41,16 @@ LEAST = 10  # occurrences of a phrase
 LONGEST = 3  # words of a phrase
 COVERED = 50  # per cent of a phrase's occurrences inside a longer one that drop it
 TOP = 2000  # phrases of a language
-BITS = 24  # buckets, as a power of two: 2 MB a bitmap, 16 MB of counters in a task
+BITS = 24  # fewest buckets, as a power of two: 2 MB a bitmap
+MOST_BITS = 28  # and the most: 32 MB
+BUCKET = 32  # bytes of text for each bucket, between these two
+RANGE = 18  # buckets that one row of packed counts covers, as a power of two
+PACK = 1 << 22  # phrases that a task holds before it hands on their bucket counts
 BUFFER = 1 << 18
 FLUSH = 200_000  # phrases that a task holds before it hands them on
 BLANKS, ENDS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"  # between words, between pieces
 PARTS = "lang string, phrase string, bucket bigint, n bigint"
+PACKED = "lang string, phrase string, n bigint, range bigint, counts binary"
 
 _KIND = np.zeros(256, np.uint8)  # 0 part of a word, 1 blank, 2 end of a piece
 _KIND[list(BLANKS)] = 1
@@ -162,8 +170,34 @@ def _long(text: bytes, carried: int, size: int) -> Iterator[tuple[bytes, int]]:
         seen = end
 
 
-def _counting(n: int, longest: int, bits: int, frequent: bytes | None, bucket: bytes | None, flush: int):
-    """Pass n over batches of (lang, text): exact counts of phrases of n words, bucket counts of those of n + 1."""
+def _packing(bits: int, least: int) -> tuple[int, int, type]:
+    """Bits of a bucket's place in its range, bits of a count up to `least`, and the type that holds both."""
+    low, room = min(bits, RANGE), least.bit_length()
+    return low, room, np.uint32 if low + room <= 32 else np.uint64
+
+
+def _pack(buckets: np.ndarray, bits: int, least: int) -> Iterator[tuple[int, bytes]]:
+    """(range, packed counts) of buckets, one for each time that they were met; counts over `least` are `least`."""
+    low, room, kind = _packing(bits, least)
+    buckets = np.sort(buckets)
+    first = np.flatnonzero(np.diff(buckets, prepend=buckets[:1] + 1 if len(buckets) else []))
+    at, times = buckets[first].astype(np.uint64), np.diff(first, append=len(buckets))
+    packed = ((at & np.uint64((1 << low) - 1)) << np.uint64(room) | np.minimum(times, least).astype(np.uint64)).astype(kind)
+    ranges = at >> np.uint64(low)
+    edges = np.flatnonzero(np.diff(ranges, prepend=ranges[:1] + np.uint64(1), append=ranges[-1:] + np.uint64(1)))
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        yield int(ranges[i]), packed[i:j].tobytes()
+
+
+def _unpack(data: bytes, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the range, count) of packed counts; each place comes once."""
+    _, room, kind = _packing(bits, least)
+    packed = np.frombuffer(data, kind).astype(np.uint64)
+    return (packed >> np.uint64(room)).astype(np.int64), (packed & np.uint64((1 << room) - 1)).astype(np.int64)
+
+
+def _counting(n: int, longest: int, bits: int, frequent: bytes | None, bucket: bytes | None, flush: int, least: int):
+    """Pass n over batches of (lang, text): exact counts of phrases of n words, packed bucket counts of those of n + 1."""
 
     def passes(words: Words, k: int, bitmap: np.ndarray | None) -> np.ndarray:
         if bitmap is None:
@@ -173,23 +207,26 @@ def _counting(n: int, longest: int, bits: int, frequent: bytes | None, bucket: b
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot = (np.frombuffer(x, np.uint8) if x is not None else None for x in (frequent, bucket))
-        buckets = np.zeros(1 << bits, np.uint8) if n < longest else None  # more than 255 come in parts
+        met: list[np.ndarray] = []  # buckets, once for each phrase of n + 1 words
         held: list[pa.Table] = []
-        rows = 0
+        rows = phrases_met = 0
 
         def handed(table: pa.Table) -> pa.RecordBatch:
             phrase = pc.binary_slice(table["phrase"].combine_chunks(), 0, -1).cast(pa.string())
             lang = table["lang"].combine_chunks().cast(pa.string())
-            return pa.RecordBatch.from_arrays([lang, phrase, pa.nulls(len(phrase), pa.int64()), table["n_sum"].combine_chunks()], ["lang", "phrase", "bucket", "n"])
+            none = pa.nulls(len(phrase), pa.int64()), pa.nulls(len(phrase), pa.binary())
+            return pa.RecordBatch.from_arrays([lang, phrase, table["n_sum"].combine_chunks(), *none], ["lang", "phrase", "n", "range", "counts"])
 
         def summed() -> pa.Table:
             table = pa.concat_tables(held)
             return table.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
 
-        def sums_of_buckets(at: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(at), 1 << 16):
-                b, t = at[i : i + (1 << 16)], times[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.string()), pa.array(b, pa.int64()), pa.array(t.astype(np.int64))], ["lang", "phrase", "bucket", "n"])
+        def packed() -> Iterator[pa.RecordBatch]:
+            found = list(_pack(np.concatenate(met), bits, least))
+            for i in range(0, len(found), 64):
+                ranges, counts = zip(*found[i : i + 64], strict=True)
+                none = pa.nulls(len(ranges), pa.string()), pa.nulls(len(ranges), pa.string()), pa.nulls(len(ranges), pa.int64())
+                yield pa.RecordBatch.from_arrays([*none, pa.array(ranges, pa.int64()), pa.array(counts, pa.binary())], ["lang", "phrase", "n", "range", "counts"])
 
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -210,11 +247,11 @@ def _counting(n: int, longest: int, bits: int, frequent: bytes | None, bucket: b
                         may = words.whole(n) if n == 1 else words.whole(n) & passes(words, n, hot) & parts[: len(ok)] & parts[1:][: len(ok)]
                         wider = words.whole(n + 1, done)
                         wider &= may[: len(wider)] & may[1:][: len(wider)]
-                        at, times = np.unique(words.bucket(n + 1, bits)[wider], return_counts=True)
-                        total = buckets[at] + times
-                        over = total > 255
-                        yield from sums_of_buckets(at[over], total[over])
-                        buckets[at] = np.where(over, 0, total)
+                        met.append(words.bucket(n + 1, bits)[wider].astype(np.uint32))
+                        phrases_met += len(met[-1])
+                        if phrases_met >= PACK:
+                            yield from packed()
+                            met, phrases_met = [], 0
             if rows > flush:
                 held = [summed()]
                 if len(held[0]) > flush // 2:
@@ -227,9 +264,8 @@ def _counting(n: int, longest: int, bits: int, frequent: bytes | None, bucket: b
             table = summed()
             for i in range(0, len(table), 1 << 16):
                 yield handed(table.slice(i, 1 << 16))
-        for i in range(0, len(buckets) if n < longest else 0, 1 << 20):
-            at = np.flatnonzero(buckets[i : i + (1 << 20)]) + i
-            yield from sums_of_buckets(at, buckets[at])
+        if met:
+            yield from packed()
 
     return count
 
@@ -251,35 +287,91 @@ def _buckets_of(n: int, bits: int):
 def bitmap(buckets: DataFrame, bits: int) -> bytes:
     """2**bits bits, set at each bucket (from 0) of the rows."""
     at = F.col("bucket") + 1
-    parts = buckets.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    parts = buckets.select("bucket", F.bitmap_bucket_number(at).alias("part")).repartition("part")  # else every task would hold every part
+    parts = parts.groupBy("part").agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    return _joined(parts.select(F.col("part") - 1, "bits"), bits)  # at most 2**bits / 32768 rows of 4 KB
+
+
+def hot_buckets(packed: DataFrame, bits: int, least: int) -> bytes:
+    """2**bits bits, set at each bucket whose packed counts come to `least` or more."""
+    low = _packing(bits, least)[0]
+
+    def hot(counters: np.ndarray) -> bytes:
+        return np.packbits(counters >= least, bitorder="little").tobytes()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counters = None, np.zeros(1 << low, np.int64)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([hot(counters)], pa.binary())], ["range", "bits"])
+        for batch in batches:
+            for key, data in zip(batch.column("range").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if key != now:
+                    if now is not None:
+                        yield done()
+                    now = key
+                    counters[:] = 0
+                at, times = _unpack(data, bits, least)
+                counters[at] += times
+        if now is not None:
+            yield done()
+
+    ranges = packed.select("range", "counts").repartition("range").sortWithinPartitions("range").mapInArrow(add, "range bigint, bits binary")
+    return _joined(ranges, bits)
+
+
+def _joined(ranges: DataFrame, bits: int) -> bytes:
     found = bytearray(max(1, (1 << bits) // 8))
-    for part, data in parts.collect():  # at most 2**bits / 32768 rows of 4 KB
-        found[(part - 1) * 4096 : part * 4096] = data[: len(found)]
+    for at, data in ranges.collect():
+        found[at * len(data) : (at + 1) * len(data)] = data[: len(found)]
     return bytes(found)
 
 
-def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, bits: int = BITS, flush: int = FLUSH) -> list[DataFrame]:
+def buckets_for(texts: DataFrame) -> int:
+    """How many buckets the texts call for, as a power of two."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(BITS, (size // BUCKET).bit_length()))
+
+
+def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, bits: int | None = None, flush: int = FLUSH) -> list[DataFrame]:
     """For n = 1 .. longest, (lang, phrase, n): all words, and every longer phrase that occurs at least `least` times."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    bits = bits or buckets_for(texts)
     found: list[DataFrame] = []
     maps: list = [None, None]
     for n in range(1, longest + 1):
-        parts = texts.mapInArrow(_pass(n, longest, bits, maps, flush), PARTS)
-        parts = scratch.cut(parts.groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.lit(n == 1) & F.col("phrase").isNotNull())), f"pass{n}")
-        counts = parts.where("phrase IS NOT NULL").select("lang", "phrase", "n")
+        parts = scratch.cut(texts.mapInArrow(_packed(n, longest, bits, maps, flush, least), PACKED), f"pass{n}")
+        counts = parts.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        counts = scratch.cut(counts if n == 1 else counts.where(F.col("n") >= least), f"counts{n}")
         found.append(counts)
         if n < longest:
             frequent = counts.where(F.col("n") >= least).mapInArrow(_buckets_of(n, bits), "bucket bigint")
-            hot = parts.where((F.col("n") >= least) & F.col("phrase").isNull()).select("bucket")
-            maps = [context.broadcast(bitmap(x, bits)) for x in (frequent, hot)]
+            maps = [context.broadcast(x) for x in (bitmap(frequent, bits), hot_buckets(parts.where("range IS NOT NULL"), bits, least))]
+        scratch.drop(f"pass{n}")
     return found
 
 
-def _pass(n: int, longest: int, bits: int, maps: list, flush: int):
+def _packed(n: int, longest: int, bits: int, maps: list, flush: int, least: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, bucket = (m.value if m is not None else None for m in maps)
-        yield from _counting(n, longest, bits, frequent, bucket, flush)(batches)
+        yield from _counting(n, longest, bits, frequent, bucket, flush, least)(batches)
+
+    return count
+
+
+def _pass(n: int, longest: int, bits: int, maps: list, flush: int):
+    """A pass with its bucket counts as one row each, to look into."""
+    most = 1 << 40
+    low = _packing(bits, most)[0]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _packed(n, longest, bits, maps, flush, most)(batches):
+            phrases = batch.filter(pc.is_valid(batch.column("phrase")))
+            yield pa.RecordBatch.from_arrays([phrases.column("lang"), phrases.column("phrase"), pa.nulls(len(phrases), pa.int64()), phrases.column("n")], ["lang", "phrase", "bucket", "n"])
+            packed = batch.filter(pc.is_valid(batch.column("range")))
+            for key, data in zip(packed.column("range").to_pylist(), packed.column("counts").to_pylist(), strict=True):
+                at, times = _unpack(data, bits, most)
+                none = pa.nulls(len(at), pa.string())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array((key << low) + at), pa.array(times)], ["lang", "phrase", "bucket", "n"])
 
     return count
 
@@ -332,7 +424,7 @@ def first_of_each(rows: DataFrame, key: str, order: list[Column], top: int, scra
 
 
 def phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, covered: int = COVERED, top: int = TOP,
-            bits: int = BITS, flush: int = FLUSH) -> DataFrame:
+            bits: int | None = None, flush: int = FLUSH) -> DataFrame:
     """Of each language the `top` collocations: lang, rank, phrase, a, l, r, n, score."""
     counts = count_phrases(docs, scratch, least, longest, bits, flush)
     words = counts[0].groupBy("lang").agg(F.sum("n").alias("n"))
