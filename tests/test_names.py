@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators.names import classes, near_names, near_rows
+from tidewell.operators.names import _place, classes, near_names, near_rows
 
 
 def distance(a: str, b: str) -> int:
@@ -43,6 +43,32 @@ def test_near_names_equal_all_pairs(spark, most, q):
     assert got == want and len(want) > 200
 
 
+@pytest.mark.parametrize(("most", "place"), [(1, 1), (1, 7), (2, 1), (2, 2), (2, 5), (2, 9), (2, 30), (3, 4)])
+def test_names_cut_at_any_place_equal_all_pairs(spark, most, place):
+    names = some_names()
+    queries = names[::5] + ["never seen", "RTX 5080", "x"]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in [*xs, None]], "name string")
+    got = [tuple(r) for r in near_names(frame(names + names[:20]), frame(queries), most, place=place).collect()]
+    want = {(a, b, d) for a in set(queries) for b in set(names) if a != b and (d := distance(a, b)) <= most}
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_names_of_one_length_or_of_none_that_queries_have(spark):
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    for names, queries in (([f"c{i:03d}" for i in range(300)], ["c010", "c01", "c0100", "c010000", ""]), ([f"c{i:03d}" for i in range(50)], ["much longer than"])):
+        got = {tuple(r) for r in near_names(frame(names), frame(queries), place=2).collect()}
+        assert got == {(a, b, d) for a in queries for b in names if a != b and (d := distance(a, b)) <= 2}
+
+
+def test_dense_names_are_cut_and_others_are_not(spark):
+    """Names of few parts do not meet by their grams, all of which are common."""
+    rows = spark.range(4000).select("id", F.format_string("Customer#%09d", "id").alias("name"))
+    assert _place(rows) == 16
+    cut = near_rows(rows, rows.where("id % 40 = 0"), "id", "name")
+    assert {tuple(r) for r in cut.collect()} == {tuple(r) for r in near_rows(rows, rows.where("id % 40 = 0"), "id", "name", place=0).collect()}
+    assert _place(rows.select(F.sha1(F.col("id").cast("string")).alias("name"))) == 0 and _place(rows.limit(0)) == 0
+
+
 def test_names_that_all_share_a_long_part(spark):
     rows = spark.range(3000).select("id", F.format_string("Customer#%09d", "id").alias("name"))
     got = {(r["query"], r.name) for r in near_names(rows, rows.where("id % 500 = 0")).collect()}
