@@ -69,6 +69,15 @@ def test_dense_names_are_cut_and_others_are_not(spark):
     assert _place(rows.select(F.sha1(F.col("id").cast("string")).alias("name"))) == 0 and _place(rows.limit(0)) == 0
 
 
+def test_product_names_are_cut(spark):
+    """Brand, name and size: parts of any length, and few."""
+    rows = spark.range(4000).selectExpr("id", "concat('Brand#', 1 + id % 25, ' ', array('hot', 'old', 'cold')[id % 3], ' ', array('bolt', 'ring')[id % 2], ' ', 1 + id % 49, 'GB') AS name")
+    queries = rows.where("id % 200 = 0")
+    assert 0 < _place(rows.select("name").distinct()) < 23
+    got = [tuple(r) for r in near_rows(rows, queries, "id", "name").collect()]
+    assert sorted(got) == sorted(map(tuple, near_rows(rows, queries, "id", "name", place=0).collect())) and len(got) > 100
+
+
 def test_names_that_all_share_a_long_part(spark):
     rows = spark.range(3000).select("id", F.format_string("Customer#%09d", "id").alias("name"))
     got = {(r["query"], r.name) for r in near_names(rows, rows.where("id % 500 = 0")).collect()}
