@@ -83,6 +83,19 @@ def test_a_search_reads_the_postings_of_its_grams(spark, tmp_path):
     assert "PushedFilters: [In(gram, [ing,ll ,rin])]" in plan or "In(gram" in plan
 
 
+def test_postings_are_never_broadcast(spark, monkeypatch):
+    """Few texts are, many meet the postings in a merge join; the rows are the same."""
+    rows = spark.range(300).select("id", F.concat(F.lit("small ring "), F.col("id").cast("string")).alias("name"))
+    texts = spark.createDataFrame([(t,) for t in ("ring 1", "ll ring", "99", "g", "", "none", None)], "t string")
+    want = {(t, i) for t in ("ring 1", "ll ring", "99", "g", "") for i in range(300) if t in f"small ring {i}"}
+    for few, joins in ((search.FEW, 0), (0, 3)):
+        monkeypatch.setattr(search, "FEW", few)
+        found = search.contains(search.postings(rows, "id", "name"), texts, "t")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" not in plan and plan.count("BuildLeft") == 4 - joins and plan.count("SortMergeJoin") == joins
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 # ---- groups of several sources -----------------------------------------------
 OFFER = "id bigint, mpn string, model_name string, brand string, gpu_model string, vram_gb int, name string, condition string"
 
